@@ -125,9 +125,7 @@ def minimax_cuts(groups: DataFrame, n_shards: int) -> tuple[int, list[str]]:
             by_length.setdefault(len(p), []).append(p)
         found: list[_Range] = []
         for length, ps in sorted(by_length.items()):
-            keys = groups.sparkSession.createDataFrame([(p,) for p in ps], "p string")
-            part = groups.join(F.broadcast(keys), F.substring("sha", 1, length) == F.col("p"), "left_semi")
-            found += sums(part, length + step)
+            found += sums(groups.filter(F.substring("sha", 1, length).isin(ps)), length + step)
         digits += step
         ranges = sorted([r for j, r in enumerate(ranges) if j not in hot] + found, key=lambda r: r.prefix)
 

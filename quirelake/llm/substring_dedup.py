@@ -112,9 +112,11 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _by_text(doc: np.ndarray, sig: np.ndarray, *others: np.ndarray) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    if not len(doc):
+        return
     order = np.lexsort((*others[:1], sig, doc))
     doc, sig, others = doc[order], sig[order], [o[order] for o in others]
-    cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1])))) if len(doc) else []
+    cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1]))))
     for a, b in zip(cut, [*cut[1:], len(doc)], strict=True):
         yield int(doc[a]), int(sig[a]), [o[a:b] for o in others]
 
