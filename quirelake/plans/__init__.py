@@ -1,4 +1,7 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import items, retrieval, usage
+
+_MODULES = [usage, retrieval, items]
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE: dict = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
