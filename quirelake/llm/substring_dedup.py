@@ -8,8 +8,10 @@ or earlier in the same text. Strings never cross texts and are judged on the inp
    around it can cover. Anchors with equal context are told apart in the scan already: all but the
    first cover only repeated windows. The firsts go, packed by bucket of their hash, through one
    shuffle, and each bucket again keeps the first of every context.
-2. Suffix arrays. Where an anchor has different contexts, these may share some windows only. Such
-   contexts are dealt to shards by anchor, and each shard's text is sorted by induced sorting. Runs of
+2. Suffix arrays. Where an anchor has different contexts, these may share some windows only. A window
+   that two contexts share reaches STEP * i bytes or more before the gram and STEP * j after it, for some
+   i + j = STEPS, so hashes of these reaches tell which contexts share none, and how far the others need
+   go to each side. Such contexts are dealt to shards by anchor, and each shard's text is sorted by induced sorting. Runs of
    permuted common prefixes of LENGTH or more are equal windows; all but the earliest are repeated.
    An anchor with over HOT contexts in a bucket is not sorted in one shard: its windows are dealt by
    their own hashes (128 bits) instead, with equal ones combined before the shuffle.
@@ -37,6 +39,9 @@ from .suffix_array import permuted_lcp, suffix_array
 from .util import staged
 
 LENGTH, GRAM = 100, 32
+#: A shared window has LENGTH - GRAM = 68 bytes around its gram, so whole steps of 17 before and after it add up to 3.
+STEP, STEPS = 17, 3
+REACHES = [(i, STEPS - i) for i in range(STEPS + 1)]
 #: Anchors that a scan combines before it sends them on.
 FLUSH = 400_000
 #: Bytes of input for a bucket of anchors, bytes of context for a shard, contexts of an anchor in a bucket.
@@ -46,7 +51,7 @@ LAST = (1 << 63) - 1
 FULL, ANCHORS, NEED, NEED_HOT = 0, 1, 2, 3
 KEYED = "bucket int, kind int, doc_id long, sig long, payload binary"
 #: An anchor, with the text it is in and how far its context goes to both sides.
-ANCHOR = np.dtype([("h", "u8"), ("ctx", "u8"), ("doc", "i8"), ("sig", "i8"), ("at", "i8"), ("left", "u1"), ("right", "u1")])
+ANCHOR = np.dtype([("h", "u8"), ("ctx", "u8"), ("doc", "i8"), ("sig", "i8"), ("at", "i8"), ("left", "u1"), ("right", "u1"), *((f"k{i}", "u2") for i, _ in REACHES)])
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -90,6 +95,31 @@ def anchors(raw: list[bytes], doc: np.ndarray, sig: np.ndarray) -> np.ndarray:
     left, right = np.minimum(LENGTH - GRAM, at - begin[text]), np.minimum(LENGTH, end[text] - at)
     out["h"], out["doc"], out["sig"], out["at"], out["left"], out["right"] = h[at], doc[text], sig[text], at - begin[text], left, right
     out["ctx"] = mix(span_hash(sums, at - left, at + right) + left.astype(U))
+    for i, j in REACHES:  # 0: the text is too short for this reach
+        there = (left >= STEP * i) & (right >= GRAM + STEP * j)
+        out[f"k{i}"] = 0
+        out[f"k{i}"][there] = np.maximum(span_hash(sums, at[there] - STEP * i, at[there] + GRAM + STEP * j) >> U(48), U(1))
+    return out
+
+
+def needed(x: np.ndarray) -> np.ndarray:
+    """Of x (first places of anchors) those that may share a window with another context, cut to what it can cover."""
+    least, most = np.full(len(x), STEPS + 1), np.full(len(x), -1)
+    for i, _ in REACHES:
+        own = np.flatnonzero(x[f"k{i}"])
+        #: Places of one context hold nothing new, so what counts is whether a reach has several contexts.
+        order = own[np.lexsort((x["ctx"][own], x[f"k{i}"][own], x["h"][own]))]
+        y = x[order]
+        edge = np.ones(len(y), dtype=bool)
+        edge[1:] = (y["h"][1:] != y["h"][:-1]) | (y[f"k{i}"][1:] != y[f"k{i}"][:-1])
+        run = np.cumsum(edge) - 1
+        several = np.bincount(run, edge | np.concatenate(([True], y["ctx"][1:] != y["ctx"][:-1])), run[-1] + 1)[run] > 1 if len(y) else edge
+        shared = order[several]
+        least[shared], most[shared] = np.minimum(least[shared], i), np.maximum(most[shared], i)
+    out = x[most >= 0]
+    least, most = least[most >= 0], most[most >= 0]
+    out["left"] = np.minimum(out["left"], np.where(most < STEPS, STEP * (most + 1), LENGTH))
+    out["right"] = np.minimum(out["right"], np.where(least > 0, GRAM + STEP * (STEPS - least + 1), LENGTH))
     return out
 
 
@@ -186,10 +216,10 @@ def settle(keyed: DataFrame, n_buckets: int) -> DataFrame:
                 x, first = firsts(np.concatenate(held))
                 again, x = x[~first], x[first]
                 out += _spans(again["doc"], again["sig"], again["at"] - again["left"], again["at"] + again["right"])
-                group = np.cumsum(np.concatenate(([0], x["h"][1:] != x["h"][:-1])))
-                new = np.concatenate(([True], (x["h"][1:] != x["h"][:-1]) | (x["ctx"][1:] != x["ctx"][:-1])))
-                contexts = np.bincount(group, new)[group]
-                for kind, some in ((NEED, (contexts > 1) & (contexts <= HOT)), (NEED_HOT, contexts > HOT)):
+                x = needed(x)
+                contexts = np.bincount(np.cumsum(np.concatenate(([0], x["h"][1:] != x["h"][:-1]))))
+                contexts = np.repeat(contexts, contexts) if len(x) else np.empty(0)
+                for kind, some in ((NEED, contexts <= HOT), (NEED_HOT, contexts > HOT)):
                     y = x[some]
                     for d, s, (at, h, left, right) in _by_text(y["doc"], y["sig"], y["at"], y["h"], y["left"], y["right"]):
                         out.append((-1, kind, d, s, _pack(np.rec.fromarrays([h, at, left, right], dtype=PLACE))))
@@ -236,6 +266,8 @@ def _windows(raw: bytes, doc: int, sig: int, begin: np.ndarray, end: np.ndarray)
         x["h"] = span_hash(sums, at, at + LENGTH)
         x["ctx"] = mix(span_hash(sums, at, at + half) * U(3) + span_hash(sums, at + half, at + LENGTH))
         x["doc"], x["sig"], x["at"], x["left"], x["right"] = doc, sig, at, 0, LENGTH
+        for i, _ in REACHES:
+            x[f"k{i}"] = 0
         out.append(x)
     return out
 

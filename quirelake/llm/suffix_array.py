@@ -7,7 +7,7 @@ import numpy as np
 from .kernels import U
 
 #: An array with more than this many symbols per distinct one is induced bucket by bucket with numpy.
-DENSE = 24
+DENSE = 1000
 
 
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
@@ -122,26 +122,31 @@ def _induce_dense(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) ->
 
 def _induce_sparse(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """As _induce_dense, suffix by suffix, for an alphabet nearly as large as the text."""
-    n, text, kind = len(s), s.tolist(), small.tolist()
+    n = len(s)
     start, end = _buckets(s, k)
-    sa, tail = [-1] * n, end.tolist()
-    for p in lms[::-1].tolist():
-        tail[text[p]] -= 1
-        sa[tail[text[p]]] = p
-    head = start.tolist()
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not kind[p]:
-            c = text[p]
-            sa[head[c]] = p
-            head[c] += 1
-    tail = end.tolist()
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and kind[p]:
-            c = text[p]
-            tail[c] -= 1
-            sa[tail[c]] = p
+    #: The symbol before each suffix, if that one is larger (smaller); the last entry stands for a free place, -1.
+    larger = np.full(n + 1, -1, dtype=np.int64)
+    larger[1:n] = np.where(small[:-1], -1, s[:-1])
+    smaller = np.full(n + 1, -1, dtype=np.int64)
+    smaller[1:n] = np.where(small[:-1], s[:-1], -1)
+    first = s[lms]
+    counts = np.bincount(first, minlength=k)
+    by = np.argsort(first, kind="stable")
+    rough = np.full(n, -1, dtype=np.int64)
+    rough[(end - counts)[first[by]] + np.arange(len(lms)) - np.repeat(np.cumsum(counts) - counts, counts)] = lms[by]
+    sa, head, before = rough.tolist(), start.tolist(), larger.tolist()
+    for p in sa:  # reads places that it has just filled
+        c = before[p]
+        if c >= 0:
+            at = head[c]
+            sa[at] = p - 1
+            head[c] = at + 1
+    tail, before = end.tolist(), smaller.tolist()
+    for p in reversed(sa):
+        c = before[p]
+        if c >= 0:
+            tail[c] = at = tail[c] - 1
+            sa[at] = p - 1
     sa[0] = n - 1
     return np.array(sa, dtype=np.int64)
 
