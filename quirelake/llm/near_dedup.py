@@ -7,12 +7,15 @@
    count of the xor of two odd sketches estimates their similarity; pairs whose estimate is far below
    the threshold go, the others are confirmed on the full sets, streamed past the hub's set.
 3. Confirmed links are joined to components. Where a key still has members in different components,
-   every pair across them is tested the same way; inside one component no pair is ever needed. So no
-   link between components is left out, without all pairs of a group of copies.
+   those outside its largest one are tested against all members of other components by a finer odd
+   sketch, the parity bitmap of the whole set, whose xor counts the two sets' differences nearly exactly.
+   A pair is tested in the first key it shares only, and what is left is confirmed as before; inside one
+   component no pair is ever needed. So no link between components is left out, without all pairs of a
+   group of copies. Keys with over KEY_MEMBERS members are compared in blocks.
 
-Two sets with similarity 0.8 share no band with probability (1 - 0.8**ROWS)**BANDS = 2e-9, and an odd
-sketch rejects such a pair about 8 standard deviations off; nothing else can lose a link. Set members
-are 64-bit hashes of word sequences.
+Two sets with similarity 0.8 share no band with probability (1 - 0.8**ROWS)**BANDS = 2e-9, the first odd
+sketch rejects such a pair about 6 standard deviations off and the second DEVIATIONS off; nothing else can
+lose a link. Set members are 64-bit hashes of word sequences.
 
 Words are what [^\\x20\\x09-\\x0D]+ matches after lower-casing A-Z. Cases: with fewer words than a
 shingle the whole sequence is one shingle; without words or with a null text the set is empty, the
@@ -30,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import fits, possible
 from .kernels import U, chunks, mix, shingles
 from .util import components, staged
 
@@ -39,7 +43,10 @@ SAMPLES = BANDS * ROWS
 LEAST_ESTIMATE = 0.6
 #: Members of a hub that one task confirms in a row; more are dealt over further tasks.
 HUB_MEMBERS = 2000
-FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch array<long>"
+#: Bits of the finer sketch, members of a key that are compared in one block, and how far off a pair is rejected.
+FINE_BITS, KEY_MEMBERS, DEVIATIONS = 4096, 8192, 5
+FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch array<long>, fine binary"
+OPEN = ["key", "u", "v", "band", "block", "doc_id", "label", "hub", "n_shingles", "heads", "fine"]
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * U(2) + U(1)
 ROW_FACTORS = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) * U(2) + U(1)
@@ -59,6 +66,70 @@ def samples(values: np.ndarray) -> np.ndarray:
     return low
 
 
+def parity(values: np.ndarray) -> bytes:
+    """The set folded into a parity bitmap of FINE_BITS."""
+    bit = (mix(values ^ SALTS[1]) & U(FINE_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=FINE_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def within_reach(both_sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Largest xor count of two parity bitmaps whose sets, of so many members together, can reach the threshold."""
+    n, d = FINE_BITS, both_sizes * ((100 - percent) / (100 + percent))
+    mean = n / 2 * (1 - (1 - 2 / n) ** d)
+    var = n / 4 * (1 - (1 - 4 / n) ** d) + n * n / 4 * ((1 - 4 / n) ** d - (1 - 2 / n) ** (2 * d))
+    return mean + DEVIATIONS * np.sqrt(np.maximum(var, 0)) + 1
+
+
+def across(open_rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that the finer sketch leaves. open_rows: OPEN, all rows of a key's block pair."""
+
+    def pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        doc, label, size, hub, band, block = (part.column(c).to_numpy() for c in ("doc_id", "label", "n_shingles", "hub", "band", "block"))
+        kinds, at, n = np.unique(label, return_inverse=True, return_counts=True)
+        rest = at != n.argmax()
+        if len(kinds) < 2:
+            return doc[:0], doc[:0]
+        bits = np.frombuffer(b"".join(part.column("fine").to_pylist()), dtype=np.uint64).reshape(len(doc), -1)
+        heads = part.column("heads").combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
+        apart = part.column("u")[0] != part.column("v")[0]
+        a, b = [], []
+        for i in np.flatnonzero(rest & (doc != hub)):
+            far = (label != label[i]) & (doc != hub) & (~rest | (doc > doc[i]))
+            far &= (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent)
+            if apart:
+                far &= block != block[i]
+            other = np.flatnonzero(far)
+            other = other[np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1) <= within_reach(size[other] + size[i], percent)]
+            #: Only in the first key that the two share.
+            other = other[~(heads[other, : band[i]] == heads[i, : band[i]]).any(axis=1)]
+            a.append(np.minimum(doc[other], doc[i]))
+            b.append(np.maximum(doc[other], doc[i]))
+        return (np.concatenate(a), np.concatenate(b)) if a else (doc[:0], doc[:0])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(pa.Table.from_batches(held))], names=["a", "b"])
+
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(c).to_numpy() for c in ("key", "u", "v")], axis=1)
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tuple(ids[x]) != at:
+                    yield flush()
+                    held = []
+                at = tuple(ids[x])
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield flush()
+
+    return open_rows.select(OPEN).repartition("key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(run, "a long, b long")
+
+
 def features(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw in chunks(batches, "text"):
@@ -73,7 +144,8 @@ def features(docs: DataFrame, n: int) -> DataFrame:
             size = np.array([len(s) for s in sets], dtype=np.int64)
             d = [np.array([f(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64) for f in (mix, lambda s: mix(s ^ SALTS[0]))]
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * w), pa.array(x.ravel())) for x, w in ((keys, BANDS), (sketch, SKETCH_WORDS))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), *map(pa.array, d), *lists], names=["doc_id", "n_shingles", "d1", "d2", "keys", "sketch"])
+            fine = pa.array([parity(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), *map(pa.array, d), *lists, fine], names=["doc_id", "n_shingles", "d1", "d2", "keys", "sketch", "fine"])
 
     return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
 
@@ -92,6 +164,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets.
 
     Each b's set is sent once for each of its hubs a, in portions of HUB_MEMBERS that each get a's set too.
+    Where the asked ids' Bloom filter is small enough, only texts that it may hold are shuffled.
     """
     dealt = staged(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("m") / HUB_MEMBERS)))).select("a", "b", "salt"), "pairs")
     asked = dealt.select(F.col("b").alias("doc_id"), "a", "salt").union(dealt.select(F.col("a"), "a", "salt").distinct())
@@ -116,7 +189,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    texts = asked.join(docs.select("doc_id", "text"), "doc_id").select("a", "salt", "doc_id", "text").mapInArrow(sets, "a long, salt long, doc_id long, held binary")
+    texts, n_asked = docs.select("doc_id", "text"), 2 * dealt.count()
+    if fits(n_asked):
+        key = F.col("doc_id").cast("string").alias("key")
+        texts = possible(texts.filter("doc_id is not null").select("doc_id", "text", key), asked.select(key), n_asked).select("doc_id", "text")
+    texts = asked.join(texts, "doc_id").select("a", "salt", "doc_id", "text").mapInArrow(sets, "a long, salt long, doc_id long, held binary")
     near = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", (F.col("doc_id") != F.col("a")), "doc_id")
     return staged(near.mapInArrow(links, "a long, b long"), "links")
 
@@ -128,19 +205,20 @@ def near_dedup(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFram
     sets = staged(sets, "sets")
     #: doc_id may repeat with another text; then each set keeps its own representative under that id.
     first = rows.join(sets.select(F.col("rep").alias("doc_id"), "d1", "d2", "n_shingles"), ["doc_id", "d1", "d2", "n_shingles"]).dropDuplicates(["doc_id", "d1", "d2"])
-    reps = staged(first.select("doc_id", "n_shingles", "sketch", "keys"), "reps")
-    bands = reps.select("doc_id", F.explode("keys").alias("key"))
+    reps = staged(first.select("doc_id", "n_shingles", "sketch", "keys", "fine"), "reps")
+    bands = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))
     hubs = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("m")).filter("m > 1")
     met = staged(bands.join(hubs, "key"), "met")
 
     small = reps.select("doc_id", "n_shingles", "sketch")
 
     def tested(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) that sketches and sizes leave; m: how many b the a has."""
+        """Pairs (a, b) that sketches and sizes leave."""
         p = pairs.alias("p").join(small.alias("x"), F.col("p.a") == F.col("x.doc_id")).join(small.alias("y"), F.col("p.b") == F.col("y.doc_id"))
         return p.filter(_sizes("x", "y", percent) & _alike("x", "y")).select("p.a", "p.b")
 
     def counted(pairs: DataFrame) -> DataFrame:
+        """m: how many b each a has."""
         held = staged(pairs, "candidates")
         return held.join(held.groupBy("a").agg(F.count("*").alias("m")), "a")
 
@@ -148,13 +226,15 @@ def near_dedup(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFram
     found = confirmed(counted(tested(stars)), docs, shingle, percent)
     labels = components(found)
     #: Keys whose members are still in different components.
-    named = met.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "hub", F.coalesce("label", "doc_id").alias("label"))
-    split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    open_rows = staged(named.join(split, "key").join(small, "doc_id"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    apart = F.expr("x.key = y.key and x.label <> y.label and x.doc_id < y.doc_id and x.doc_id <> x.hub")
-    across = x.join(y, apart & _sizes("x", "y", percent) & _alike("x", "y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = confirmed(counted(across), docs, shingle, percent)
+    named = met.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "hub", "m", F.coalesce("label", "doc_id").alias("label"))
+    split = named.filter("doc_id <> hub").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    blocks = F.ceil(F.col("m") / KEY_MEMBERS).cast("int")
+    dealt = named.join(split, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    whole = dealt.filter("blocks = 1").withColumn("other", F.lit(0))
+    parts = dealt.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = whole.unionByName(parts).select("key", "band", "doc_id", "label", "hub", "block", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"))
+    heads = reps.select("doc_id", "n_shingles", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("heads"), "fine")
+    more = confirmed(counted(across(units.join(heads, "doc_id"), percent)), docs, shingle, percent)
     labels = components(found.union(more))
     out = rows.join(sets, ["d1", "d2", "n_shingles"], "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     own = F.coalesce("label", "rep", "doc_id")

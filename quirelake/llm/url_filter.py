@@ -13,18 +13,12 @@ host, path, rule or verdict are replaced; others are kept.
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import bounded, possible
 from .util import ascii_lower
 
-#: Words of 64 bits in a block, bits set for each key, bits of filter for each key.
-WORDS, PROBES, BITS_PER_KEY = 8, 7, 16
-#: The filter's blocks and the listed rules are broadcast only up to this many bytes.
-BROADCAST_BYTES = 64 << 20
 RULES = "key string, kind string, rule string, verdict string, size int"
 
 
@@ -46,23 +40,6 @@ def _key(host: Column, path: Column, kind: str) -> Column:
     return F.concat(F.lit(kind), host, F.lit("\n"), path)
 
 
-def _positions(key: Column) -> list[Column]:
-    h = F.xxhash64(key, F.lit(7))
-    return [F.shiftrightunsigned(h, 9 * i).bitwiseAND(511).cast("int") for i in range(PROBES)]
-
-
-def bloom_blocks(keys: DataFrame, n_blocks: int) -> DataFrame:
-    """(block, words) rows: the filter of keys(key), built by or-ing bits per block before the shuffle."""
-    at = keys.select(F.pmod(F.xxhash64("key"), F.lit(n_blocks)).alias("block"), F.array(*_positions(F.col("key"))).alias("at"))
-    own = [reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col("at")[i].bitwiseAND(448) == 64 * w, F.expr(f"shiftleft(1L, at[{i}] & 63)")).otherwise(F.lit(0)) for i in range(PROBES)]) for w in range(WORDS)]
-    words = at.select("block", *[x.alias(f"w{w}") for w, x in enumerate(own)])
-    return words.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)]).select("block", F.array(*[f"w{w}" for w in range(WORDS)]).alias("words"))
-
-
-def _bounded(df: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def listing(rules: DataFrame, listed: DataFrame | None) -> DataFrame:
     """Rules and listed URLs as one table of keys; of equal keys, block stands."""
     cut = F.coalesce(F.nullif(F.instr("rule", "/"), F.lit(0)) - 1, F.length("rule"))
@@ -81,18 +58,13 @@ def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = No
     """
     entries = listing(rules, listed)
     facts = entries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("key") + F.length("rule") + 64), F.lit(0)).alias("bytes"), F.collect_set("path_chars").alias("path_chars"), F.collect_set("labels").alias("labels")).first()
-    n_blocks = max(1, math.ceil(facts["n"] * BITS_PER_KEY / (64 * WORDS)))
     urls = pages.select(F.col("url")).filter(F.col("url").contains("://")).distinct().select("url", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p"))
     labels = F.split("h", r"\.")
     #: Only the depths and path lengths that are listed can fit, so the keys of a URL stay few.
     prefixes = [F.when((F.size(labels) >= d) & (F.length("p") >= c), _key(F.array_join(F.slice(labels, -d, d), "."), F.substr("p", F.lit(1), F.lit(c)), "p")) for d in sorted(facts["labels"]) for c in sorted(facts["path_chars"])]
     exact = [_key(F.col("h"), F.col("p"), "x")] if listed is not None else []
     probes = urls.select("url", F.explode(F.array_compact(F.array(*prefixes, *exact, F.lit(None).cast("string")))).alias("key"))
-    probes = probes.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)))
-    blocks = _bounded(bloom_blocks(entries, n_blocks), n_blocks * (8 * WORDS + 64))
-    set_bits = [F.expr(f"shiftrightunsigned(words[at[{i}] div 64], at[{i}] & 63) & 1") == 1 for i in range(PROBES)]
-    possible = probes.withColumn("at", F.array(*_positions(F.col("key")))).join(blocks, "block").filter(reduce(lambda a, b: a & b, set_bits)).select("url", "key")
-    hits = possible.join(_bounded(entries.select("key", "rule", "verdict"), facts["bytes"]), "key")
+    hits = possible(probes, entries, facts["n"]).join(bounded(entries.select("key", "rule", "verdict"), facts["bytes"]), "key")
     rank = F.struct(F.length("rule"), F.col("rule"))
     best = hits.groupBy("url").agg(F.max_by("rule", rank).alias("rule"), F.max_by("verdict", rank).alias("fit"), F.max("verdict").alias("any"))
     best = best.select("url", "rule", F.when(F.col("rule").isNotNull(), F.col("fit")).otherwise(F.col("any")).alias("verdict"))
