@@ -95,23 +95,23 @@ def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, t
     small = (lambda df: F.broadcast(df)) if held <= BROADCAST_BYTES else (lambda df: df)
     n = F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.col("total"))).cast("int")
     full = F.floor("epochs")
-    planned = planned.select(F.col("source").alias("_source"), "weight", full.alias("full"), n.alias("n"), F.round((F.col("epochs") - full) * F.col("total")).cast("long").alias("rest"))
+    planned = planned.select(F.col("source").alias("_mix_source"), F.col("weight").alias("_mix_weight"), full.alias("_mix_full"), n.alias("_mix_n"), F.round((F.col("epochs") - full) * F.col("total")).cast("long").alias("_mix_rest"))
     h = F.xxhash64("doc_id", F.lit(seed))
-    keyed = docs.withColumns({"mix_tokens": tokens, "_h": h}).join(small(planned), F.col(source).eqNullSafe(F.col("_source"))).withColumn("_block", F.pmod("_h", "n").cast("int"))
+    keyed = docs.withColumns({"mix_tokens": tokens, "_mix_h": h}).join(small(planned), F.col(source).eqNullSafe(F.col("_mix_source"))).withColumn("_mix_block", F.pmod("_mix_h", "_mix_n").cast("int"))
     #: The partial epoch: running sums over the source's block totals, in that epoch's order.
-    blocks = keyed.groupBy("_source", "_block").agg(F.sum("mix_tokens").alias("t"), F.first("rest").alias("rest"), F.first("full").alias("full"))
-    order = _order("_source", "_block", F.col("full") + 1, seed)
-    run = F.sum("t").over(Window.partitionBy("_source").orderBy(order, "_block"))
-    blocks = blocks.withColumn("run", run).select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), F.when(F.col("run") <= F.col("rest"), 1).when(F.col("run") - F.col("t") < F.col("rest"), 0).otherwise(-1).alias("_take"), (F.col("rest") - (F.col("run") - F.col("t"))).alias("_room"))
-    drawn = keyed.join(small(blocks), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    cut = drawn.filter("_take = 0")
-    cut = cut.withColumn("_fits", F.sum("mix_tokens").over(Window.partitionBy("_source", "_block").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) <= F.col("_room"))
-    both = drawn.filter("_take <> 0").withColumn("_fits", F.col("_take") == 1).union(cut)
-    epochs = F.sequence(F.lit(1), (F.col("full") + F.col("_fits").cast("int")).cast("int"))
-    some = both.filter("full > 0 or _fits").withColumn("mix_epoch", F.explode(epochs))
-    rank = F.pmod(_order("_source", "_block", F.col("mix_epoch"), seed), F.lit(1 << 31)).cast("long")
+    blocks = keyed.groupBy("_mix_source", "_mix_block").agg(F.sum("mix_tokens").alias("_mix_t"), F.first("_mix_rest").alias("_mix_rest"), F.first("_mix_full").alias("_mix_full"))
+    order = _order("_mix_source", "_mix_block", F.col("_mix_full") + 1, seed)
+    run = F.sum("_mix_t").over(Window.partitionBy("_mix_source").orderBy(order, "_mix_block"))
+    blocks = blocks.withColumn("_mix_run", run).select(F.col("_mix_source").alias("_mix_s"), F.col("_mix_block").alias("_mix_b"), F.when(F.col("_mix_run") <= F.col("_mix_rest"), 1).when(F.col("_mix_run") - F.col("_mix_t") < F.col("_mix_rest"), 0).otherwise(-1).alias("_mix_take"), (F.col("_mix_rest") - (F.col("_mix_run") - F.col("_mix_t"))).alias("_mix_room"))
+    drawn = keyed.join(small(blocks), F.col("_mix_source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_block") == F.col("_mix_b")))
+    cut = drawn.filter("_mix_take = 0")
+    cut = cut.withColumn("_mix_fits", F.sum("mix_tokens").over(Window.partitionBy("_mix_source", "_mix_block").orderBy("_mix_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) <= F.col("_mix_room"))
+    both = drawn.filter("_mix_take <> 0").withColumn("_mix_fits", F.col("_mix_take") == 1).union(cut)
+    epochs = F.sequence(F.lit(1), (F.col("_mix_full") + F.col("_mix_fits").cast("int")).cast("int"))
+    some = both.filter("_mix_full > 0 or _mix_fits").withColumn("mix_epoch", F.explode(epochs))
+    rank = F.pmod(_order("_mix_source", "_mix_block", F.col("mix_epoch"), seed), F.lit(1 << 31)).cast("long")
     kept = [c for c in docs.columns if c not in ("mix_tokens", "mix_weight", "mix_epoch", "mix_block_rank")]
-    return some.select(*kept, "mix_tokens", F.col("weight").alias("mix_weight"), "mix_epoch", rank.alias("mix_block_rank"))
+    return some.select(*kept, "mix_tokens", F.col("_mix_weight").alias("mix_weight"), "mix_epoch", rank.alias("mix_block_rank"))
 
 
 def _order(source: str, block: str, epoch: Column, seed: int) -> Column:
