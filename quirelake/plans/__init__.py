@@ -1,7 +1,7 @@
 """Registered queries and their SQL."""
 
-from . import items, retrieval, usage
+from . import items, library, retrieval, usage
 
-_MODULES = [usage, retrieval, items]
+_MODULES = [usage, retrieval, items, library]
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE: dict = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
