@@ -29,7 +29,7 @@ def daily(events: DataFrame) -> DataFrame:
 
 
 def by_day(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("day").agg(F.countDistinct("user_id").alias("users"), F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.round(F.sum("ms_sum") / F.sum("calls"), 4).alias("ms_mean"))
+    return rows.groupBy("day").agg(F.countDistinct("user_id").alias("users"), F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.round(F.sum("ms_sum") / F.sum("calls"), 7).alias("ms_mean"))
 
 
 def by_key(rows: DataFrame, key: str, top: int = 15) -> DataFrame:

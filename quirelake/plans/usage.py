@@ -70,7 +70,7 @@ _KEY = f"""WITH d AS ({_DAILY}) SELECT {{key}}, sum(calls)::BIGINT AS calls, sum
 ORACLE = {
     "usage_daily": _DAILY,
     "usage_by_day": f"""WITH d AS ({_DAILY}) SELECT day, count(DISTINCT user_id) AS users, sum(calls)::BIGINT AS calls,
-        sum(errors)::BIGINT AS errors, round(sum(ms_sum) / sum(calls), 4) AS ms_mean FROM d GROUP BY day""",
+        sum(errors)::BIGINT AS errors, round(sum(ms_sum) / sum(calls), 7) AS ms_mean FROM d GROUP BY day""",
     "usage_by_name": _KEY.format(key="name"),
     "usage_by_user": _KEY.format(key="user_id"),
     "usage_rollup_totals": f"""WITH d AS ({_DAILY}) SELECT day, name, sum(calls)::BIGINT AS calls, sum(errors)::BIGINT AS errors

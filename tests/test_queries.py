@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quirelake.plans import ORACLE, QUERIES
@@ -14,7 +15,7 @@ from .conftest import SMALL
 def rows(df):
     out = []
     for r in df[sorted(df.columns)].astype(object).itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r))
+        out.append(tuple(None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r))
     return sorted(out, key=repr)
 
 
