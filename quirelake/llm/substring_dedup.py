@@ -259,7 +259,8 @@ def contexts(asked: DataFrame, n_shards: int, n_buckets: int) -> DataFrame:
 
 def _windows(raw: bytes, doc: int, sig: int, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     sums, out = prefix(np.frombuffer(raw, dtype=np.uint8)), []
-    for lo, hi in merged(begin, end - LENGTH + 1).tolist():
+    order = np.argsort(begin, kind="stable")  # contexts are cut to the left one by one, so the order of anchors is not theirs
+    for lo, hi in merged(begin[order], end[order] - LENGTH + 1).tolist():
         at = np.arange(lo, hi)
         x = np.empty(len(at), dtype=ANCHOR)
         half = LENGTH // 2

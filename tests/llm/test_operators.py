@@ -53,6 +53,28 @@ def test_substring_dedup(spark, docs, rows):
     assert [r["n_removed"] for r in twice] == [0, 0]  # one document, told twice
 
 
+def test_windows_of_hot_anchors():
+    raw = random.Random(7).randbytes(300)
+    at, left, right = np.array([100, 135]), np.array([17, 68]), np.array([100, 83])
+    got = np.concatenate(substring_dedup._windows(raw, 1, 2, at - left, at + right))
+    assert got["at"].tolist() == list(range(67, 119))
+
+
+def test_substring_dedup_hot(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 1)
+    r = random.Random(11)
+    prose = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passages = [prose(400) for _ in range(4)]
+    rows = []
+    for i in range(160):
+        p = passages[i % 4]
+        a = r.randrange(0, 250)
+        rows.append((i, prose(r.randint(0, 60)) + p[a : a + r.randint(100, 200)] + prose(r.randint(0, 60))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in substring_dedup.substring_dedup(docs).collect()}
+    assert got == brute.substring_dedup(rows)
+
+
 def test_suffix_array():
     r = np.random.default_rng(1)
     for n in range(1, 120):
