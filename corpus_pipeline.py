@@ -25,9 +25,13 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays."""
-    dropped = staged(near_dedup.near_dedup(docs, SHINGLE, PERCENT).filter(~F.col("kept")).select(F.col("doc_id").alias("_out")), "dropped")
-    return docs.select(COLUMNS).join(dropped, F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti")
+    """Of each group of near-duplicates one row stays: the smallest doc_id's, nulls last, whatever ids repeat."""
+    rows = staged(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    labels = staged(near_dedup.near_dedup(rows.select(F.col("_row").alias("doc_id"), "text"), SHINGLE, PERCENT).select(F.col("doc_id").alias("_row"), "component_id"), "labels")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("sig"), "_row")
+    firsts = rows.select("_row", place.alias("place")).join(labels, "_row").groupBy("component_id").agg(F.min("place").alias("place")).select("place._row")
+    dropped = staged(labels.select("_row").join(firsts, "_row", "left_anti"), "dropped")
+    return rows.join(dropped, "_row", "left_anti").select(COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

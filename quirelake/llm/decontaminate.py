@@ -158,15 +158,18 @@ class Items:
 
 def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the best window of each item in each text, where it reaches least."""
+    found = [docs.select("doc_id", "text").mapInArrow(_scanner(ids, texts, shingle, least), MATCHES) for ids, texts in _blocks(benchmark)]
+    return reduce(DataFrame.union, found)
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The items in blocks of about ITEM_BYTES, one at least."""
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // ITEM_BYTES))
-    found = []
     for k in range(n_blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect() if n_blocks > 1 else items.collect()
-        ids, texts = [r["item_id"] for r in part], [r["text"].encode("utf-8") for r in part]
-        found.append(docs.select("doc_id", "text").mapInArrow(_scanner(ids, texts, shingle, least), MATCHES))
-    return reduce(DataFrame.union, found)
+        yield [r["item_id"] for r in part], [r["text"].encode("utf-8") for r in part]
 
 
 def _scanner(ids: list[int], texts: list[bytes], shingle: int, least: float):
@@ -181,6 +184,18 @@ def _scanner(ids: list[int], texts: list[bytes], shingle: int, least: float):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """docs without the rows whose text holds a benchmark item. All columns stay; rows with a null doc_id are judged too."""
-    hit = matches(docs, benchmark, shingle, least).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    """docs without the rows whose text holds a benchmark item. All columns stay; each row is judged by its own text, whatever its doc_id."""
+    out = docs
+    for ids, texts in _blocks(benchmark):
+        out = out.mapInArrow(_keeper(ids, texts, shingle, least), docs.schema)
+    return out
+
+
+def _keeper(ids: list[int], texts: list[bytes], shingle: int, least: float):
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Items(ids, texts, shingle) if ids else None
+        for part, raw in chunks(batches, "text"):
+            hit = {t for t, _, _ in index.scan(raw, least)} if index else set()
+            yield part.filter(pa.array([t not in hit for t in range(len(raw))], pa.bool_()))
+
+    return keep
