@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U, among, chunks, combine, joined, mix, prefix, span_hash, word_spans
+from .kernels import U, among, chunks, combine, joined, mix, prefix, word_hash, word_spans
 
 BLOCKS, RADIUS = 8, 22
 ITEM_BYTES = 32 << 20
@@ -53,7 +53,7 @@ def packed(sums: np.ndarray) -> np.ndarray:
 def words_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf, at = joined([r.lower() for r in raw])
     start, end, first = word_spans(buf, at)
-    return span_hash(prefix(buf), start, end), first
+    return word_hash(buf, prefix(buf), start, end), first
 
 
 class Items:

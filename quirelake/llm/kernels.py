@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -44,6 +45,18 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
 
 
+#: Spans that are longer get a hash of another kind: modulo 2**64 a polynomial takes some built strings of 1,024 bytes for equal.
+LONG_SPAN = 256
+
+
+def word_hash(buf: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of any length; equal bytes give equal hashes."""
+    out = span_hash(sums, start, end)
+    for k in np.flatnonzero(end - start > LONG_SPAN):
+        out[k] = U(xxhash.xxh3_64_intdigest(buf[start[k] : end[k]].tobytes(), seed=1))
+    return out
+
+
 #: Bytes that separate words: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -68,7 +81,7 @@ def shingles(raw: list[bytes], n: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its n-word shingles (fewer words: the whole sequence)."""
     buf, at = joined([r.lower() for r in raw])
     start, end, first = word_spans(buf, at)
-    words = span_hash(prefix(buf), start, end)
+    words = word_hash(buf, prefix(buf), start, end)
     for a, b in zip(first[:-1], first[1:], strict=True):
         yield np.unique(combine(words[a:b], min(n, b - a))) if b > a else np.empty(0, dtype=U)
 

@@ -1,32 +1,20 @@
-"""Helpers shared by the corpus operators: staged tables, table reading, connected components."""
+"""Helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components as rooted
+from ..operators.components import shared_dir, staged
+from ..session import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["SALTS", "ascii_lower", "components", "salt_of", "salted", "salts_seen", "shared_dir", "staged", "table"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-quirelake-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quirelake/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Parts that the rows of one key are dealt to in a salted join.
+SALTS = 64
 
 
 def ascii_lower(c: Column) -> Column:
@@ -34,22 +22,21 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, label) for every id in edges(a, b): label is the smallest id reachable.
-
-    Each round takes the smallest label among neighbours and then jumps to the label's own label, so
-    chains shorten by about half a round. Minima are pre-aggregated before the shuffle, which keeps a
-    node with very many edges from meeting in one task; every round is staged in the shared folder.
-    """
-    e = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = staged(e.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = e.join(labels.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l"))
-        low = labels.join(near, "id", "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("l", "label")).alias("label"))
-        low = staged(low, "low")
-        jump = low.join(low.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left")
-        new = staged(jump.select("id", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        labels = new.select("id", "label")
-        if new.filter(F.col("was") != F.col("label")).isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def components(edges: DataFrame) -> DataFrame:
+    """(id, label) for every id in edges(a, b): label is the smallest id reachable."""
+    return rooted(edges).withColumnRenamed("root", "label")
+
+
+def salt_of(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def salts_seen(salt: Column) -> Column:
+    """Aggregate: which salts the rows of a key have, as the bits of one long; combined before the shuffle."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt))
+
+
+def salted(groups: DataFrame, mask: str) -> DataFrame:
+    """groups with one row for each salt in mask, as column salt: never more rows than the group has members."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.call_function("getbit", F.col(mask), k) == 1)
+    return groups.withColumn("salt", F.explode(bits)).drop(mask)
