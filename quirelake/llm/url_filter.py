@@ -1,9 +1,18 @@
 """URL filter: a blocked Bloom filter of listed URLs screens candidates, an exact hash join decides.
 
 Listed are prefix rules (host with its subdomains, start of the path) and, optionally, canonical
-URLs as a whole. Every distinct URL yields one candidate key for each listed host depth and listed
-path length; the keys are looked up in 512-bit Bloom blocks, and only possible hits go on to the
-exact join, which removes false positives. DataFrame functions only.
+URLs as a whole. Every distinct URL is first asked by the suffixes of its host: a Bloom filter and an
+exact join tell which are listed, and which lengths of path their rules have. Only for these lengths
+a path prefix is made; its key is looked up in 512-bit Bloom blocks, and possible hits go on to the
+exact join, which removes false positives. A URL gives no more keys than it has host labels and
+characters, and plans don't grow with the list. DataFrame functions only.
+
+A canonical URL is its lower-case host, without user, trailing dots and the ports 80 and 443, and its
+path, "/" if it has none. Hosts and paths that are returned, and that rules are held against, are as
+they stand in the URL.
+
+Pages are joined with their URL's verdict by URL and a salt (a hash of the columns that hold no text), so
+pages of one URL, or without a URL, don't meet in one task.
 
 Cases: a null URL, or one without "://", has empty host and path, fits no rule and gets the default
 verdict. Repeated pages each get a row. Of equal rules with different verdicts, block stands. An
@@ -17,9 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import bounded, possible
-from .util import ascii_lower
-
-RULES = "key string, kind string, rule string, verdict string, size int"
+from .util import SALTS, ascii_lower, salted, salts_seen, staged
 
 
 def host_of(url: Column) -> Column:
@@ -40,34 +47,46 @@ def _key(host: Column, path: Column, kind: str) -> Column:
     return F.concat(F.lit(kind), host, F.lit("\n"), path)
 
 
+def canonical(url: Column) -> tuple[Column, Column]:
+    host = F.regexp_replace(F.regexp_replace(host_of(url), r"^[^@]*@", ""), r"\.*(:(80|443)?)?$", "")
+    return F.regexp_replace(host, r"\.+$", ""), F.coalesce(F.nullif(path_of(url), F.lit("")), F.lit("/"))
+
+
 def listing(rules: DataFrame, listed: DataFrame | None) -> DataFrame:
-    """Rules and listed URLs as one table of keys; of equal keys, block stands."""
+    """Rules and listed URLs as one table: key, rule, verdict, and of rules their host and length of path; of equal keys, block stands."""
     cut = F.coalesce(F.nullif(F.instr("rule", "/"), F.lit(0)) - 1, F.length("rule"))
     host, path = ascii_lower(F.substr("rule", F.lit(1), cut)), F.substr("rule", cut + 1)
-    out = rules.filter(F.col("rule").isNotNull() & F.col("verdict").isNotNull()).select(_key(host, path, "p").alias("key"), "rule", "verdict", F.length(path).alias("path_chars"), F.size(F.split(host, r"\.")).alias("labels"))
+    out = rules.filter(F.col("rule").isNotNull() & F.col("verdict").isNotNull()).select(_key(host, path, "p").alias("key"), "rule", "verdict", host.alias("host"), F.length(path).alias("chars"))
     if listed is not None:
-        u = F.col("url")
-        out = out.union(listed.filter(u.contains("://")).select(_key(host_of(u), path_of(u), "x"), F.lit(None).cast("string"), F.lit("block"), F.lit(None).cast("int"), F.lit(None).cast("int")))
-    return out.groupBy("key").agg(F.max_by("rule", F.struct("verdict", "rule")).alias("rule"), F.max("verdict").alias("verdict"), F.max("path_chars").alias("path_chars"), F.max("labels").alias("labels"))
+        none = F.lit(None).cast("string")
+        out = out.union(listed.filter(F.col("url").contains("://")).select(_key(*canonical(F.col("url")), "x"), none, F.lit("block"), none, none.cast("int")))
+    return out.groupBy("key").agg(F.max_by("rule", F.struct("verdict", "rule")).alias("rule"), F.max("verdict").alias("verdict"), F.max("host").alias("host"), F.max("chars").alias("chars"))
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """pages with host, path, the longest fitting rule and the verdict.
 
-    The verdict is the rule's; without one, block for a listed canonical URL (host and path), else default.
+    The verdict is the rule's; without one, block for a listed canonical URL, else default.
     """
-    entries = listing(rules, listed)
-    facts = entries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("key") + F.length("rule") + 64), F.lit(0)).alias("bytes"), F.collect_set("path_chars").alias("path_chars"), F.collect_set("labels").alias("labels")).first()
-    urls = pages.select(F.col("url")).filter(F.col("url").contains("://")).distinct().select("url", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p"))
+    entries = staged(listing(rules, listed), "listing")
+    hosts = entries.filter("host is not null").groupBy(F.col("host").alias("key")).agg(F.collect_set("chars").alias("lengths"))
+    facts = entries.agg(F.count("*").alias("n"), F.count_distinct("host").alias("hosts"), F.coalesce(F.sum(F.length("key") + F.coalesce(F.length("rule"), F.lit(0)) + 64), F.lit(0)).alias("bytes")).first()
+    apart = [c for c, kind in pages.dtypes if c != "url" and kind.startswith(("bigint", "int", "smallint", "tinyint", "date", "timestamp", "decimal"))]
+    salt = F.pmod(F.xxhash64(*apart, F.lit(0)), F.lit(SALTS)).cast("int")
+    urls = pages.filter(F.col("url").contains("://")).groupBy("url").agg(salts_seen(salt).alias("salts"))
+    urls = urls.select("url", "salts", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p"))
     labels = F.split("h", r"\.")
-    #: Only the depths and path lengths that are listed can fit, so the keys of a URL stay few.
-    prefixes = [F.when((F.size(labels) >= d) & (F.length("p") >= c), _key(F.array_join(F.slice(labels, -d, d), "."), F.substr("p", F.lit(1), F.lit(c)), "p")) for d in sorted(facts["labels"]) for c in sorted(facts["path_chars"])]
-    exact = [_key(F.col("h"), F.col("p"), "x")] if listed is not None else []
-    probes = urls.select("url", F.explode(F.array_compact(F.array(*prefixes, *exact, F.lit(None).cast("string")))).alias("key"))
-    hits = possible(probes, entries, facts["n"]).join(bounded(entries.select("key", "rule", "verdict"), facts["bytes"]), "key")
-    rank = F.struct(F.length("rule"), F.col("rule"))
-    best = hits.groupBy("url").agg(F.max_by("rule", rank).alias("rule"), F.max_by("verdict", rank).alias("fit"), F.max("verdict").alias("any"))
-    best = best.select("url", "rule", F.when(F.col("rule").isNotNull(), F.col("fit")).otherwise(F.col("any")).alias("verdict"))
-    kept = pages.drop("host", "path", "rule", "verdict")
-    joined = kept.join(best, "url", "left")
-    return joined.select(*[kept[c] if c != "url" else F.col("url") for c in kept.columns], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda d: F.array_join(F.slice(labels, -d, d), "."))
+    asked = possible(urls.select("*", F.explode(suffixes).alias("key")), hosts, facts["hosts"]).join(bounded(hosts, facts["bytes"]), "key")
+    fitting = F.filter("lengths", lambda c: c <= F.length("p"))
+    keys = F.transform(fitting, lambda c: _key(F.col("key"), F.substr("p", F.lit(1), c), "p"))
+    probes = asked.select("url", "salts", F.explode(keys).alias("key"))
+    if listed is not None:
+        probes = probes.union(urls.select("url", "salts", _key(*canonical(F.col("url")), "x")))
+    hits = possible(probes, entries.select("key"), facts["n"]).join(bounded(entries.select("key", "rule", "verdict"), facts["bytes"]), "key")
+    longest = F.struct(F.length("rule"), F.col("rule"))
+    best = hits.groupBy("url", "salts").agg(F.max_by("rule", longest).alias("rule"), F.max_by("verdict", longest).alias("fit"), F.max("verdict").alias("any"))
+    best = salted(best.select(F.col("url").alias("_url"), "salts", F.col("rule").alias("_rule"), F.when(F.col("rule").isNotNull(), F.col("fit")).otherwise(F.col("any")).alias("_verdict")), "salts").withColumnRenamed("salt", "_salt")
+    dealt = pages.drop("host", "path", "rule", "verdict").withColumn("_page_salt", salt)
+    joined = dealt.join(best, (F.col("url") == F.col("_url")) & (F.col("_page_salt") == F.col("_salt")), "left")
+    return joined.select(*[c for c in dealt.columns if c != "_page_salt"], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("_rule").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict"))
