@@ -13,11 +13,12 @@ or earlier in the same text. Strings never cross texts and are judged on the inp
    i + j = STEPS, so hashes of these reaches tell which contexts share none, and how far the others need
    go to each side. Such contexts are dealt to shards by anchor, and each shard's text is sorted by induced sorting. Runs of
    permuted common prefixes of LENGTH or more are equal windows; all but the earliest are repeated.
-   An anchor with over HOT contexts in a bucket is not sorted in one shard: its windows are dealt by
-   their own hashes (128 bits) instead, with equal ones combined before the shuffle.
+   An anchor with over HOT contexts in a bucket would not fit in one task's suffix array, and splitting it
+   over several would part equal windows: its windows are dealt by their own hashes (128 bits) instead,
+   with equal ones combined before the shuffle. The result is the same.
 3. The repeated stretches of a text are joined and cut out.
 
-Hashes of grams and contexts have 64 bits each and only ever count together. Cases: a null text
+Contexts are equal if the hashes of gram, context (64 bits each), sides and reaches (16 bits each) are. Cases: a null text
 counts as empty; texts under LENGTH bytes stay whole. Rows that repeat a doc_id count as one document
 (so equal places in two of them remove neither), told apart by their text; a null doc_id comes after
 all others. An empty table gives no rows. Only doc_id and text are read, so other columns can't clash.
@@ -46,7 +47,6 @@ REACHES = [(i, STEPS - i) for i in range(STEPS + 1)]
 FLUSH = 400_000
 #: Bytes of input for a bucket of anchors, bytes of context for a shard, contexts of an anchor in a bucket.
 BUCKET_BYTES, SHARD_BYTES, HOT = 16 << 20, 2 << 20, 20_000
-MOST_BUCKETS = 1 << 16
 LAST = (1 << 63) - 1
 FULL, ANCHORS, NEED, NEED_HOT = 0, 1, 2, 3
 KEYED = "bucket int, kind int, doc_id long, sig long, payload binary"
@@ -128,6 +128,9 @@ def firsts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = x[np.lexsort((x["at"], x["doc"], x["ctx"], x["h"]))]
     new = np.ones(len(x), dtype=bool)
     new[1:] = (x["h"][1:] != x["h"][:-1]) | (x["ctx"][1:] != x["ctx"][:-1])
+    #: The hashes of reaches tell contexts apart once more; where they differ, the suffix array decides.
+    for i, _ in REACHES:
+        new[1:] |= x[f"k{i}"][1:] != x[f"k{i}"][:-1]
     lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else np.empty(0, dtype=np.int64)
     return x, (x["doc"] == x["doc"][lead]) & (x["at"] == x["at"][lead])
 
@@ -340,7 +343,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row of docs."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("sig"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_buckets = max(16, min(MOST_BUCKETS, size // BUCKET_BYTES))
+    n_buckets = max(16, size // BUCKET_BYTES)
     found = staged(settle(scan(rows, n_buckets), n_buckets), "anchors")
     needs = found.filter(F.col("kind").isin(NEED, NEED_HOT))
     asked_bytes = needs.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0] // PLACE.itemsize * 2 * LENGTH
