@@ -2,18 +2,21 @@
 
 Source token shares p become weights p**a / sum(p**a). The exponent a is bisected: to the largest
 with at least a target entropy (in nats), or to the smallest (most even) under which no source is
-repeated more than a limit. Every round evaluates the next five halvings at once, as one aggregate
-over the table of sources. Weights become token budgets; a source is passed over in whole epochs, and
-of the last one it gets as many blocks of that epoch's block permutation as its budget holds, then the
-documents of the next block, in hashed order, while they fit. DataFrame functions only.
+repeated more than a limit. A target that no exponent meets is an error. Every round evaluates the next
+five halvings at once, as one aggregate over the table of sources. Weights become token budgets; a source
+is passed over in whole epochs, and of the last one it gets as many blocks of that epoch's block
+permutation as its budget holds, then the documents of the next block, in hashed order, while they fit.
+DataFrame functions only.
 
-A source's documents are dealt by hash to at most BLOCKS blocks; running sums go over block totals,
-and document by document only inside the one block that the budget cuts. So no task holds a source.
+A source's documents are dealt by hash to at most BLOCKS blocks; running sums go over block totals, and
+document by document only inside the one block that the budget cuts, over narrow rows (hash, id, tokens)
+from which one cut for each source is found. So no task holds a source, and no text is sorted.
 
 Tokens are estimated as a quarter of the code points, rounded up, unless a column is given. Cases: a
 null source is a source of its own; a null or empty text has no tokens and goes with its source's
-whole epochs; a source without tokens has weight 0 and each of its rows comes once. Repeated rows are
-dealt on their own. An empty table gives no rows. Columns of docs stay; added ones are named in mix().
+whole epochs; a source without tokens has weight 0 and each of its rows comes once. Rows with a null
+doc_id are dealt by all their columns. Rows equal in hash, doc_id and tokens are drawn all or none in
+the cut block. An empty table gives no rows. Columns of docs stay; added ones are named in mix().
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from .util import staged
 
 BLOCKS, LEVELS, ROUNDS = 1024, 5, 6
+#: Beyond it the largest source has all the weight, or the largest ones are equal and no exponent parts them.
+MOST_EXPONENT = 1024.0
 #: The tables of sources and of blocks are broadcast only up to this many bytes.
 BROADCAST_BYTES = 64 << 20
 
@@ -67,7 +72,14 @@ def plan(docs: DataFrame, source: str, tokens: Column, target_entropy: float | N
     if (target_entropy is None) == (repetition_limit is None):
         raise ValueError("give either target_entropy or repetition_limit")
     if target_entropy is not None:
-        a = _bisect(shares, 0.0, 8.0, False, lambda f: f[0] >= target_entropy)
+        most = _facts(shares, [0.0])[0.0][0]
+        if not 0 <= target_entropy <= most + 1e-9:
+            raise ValueError(f"the entropy of {target_entropy} is out of reach: it lies between 0 and {most}")
+        #: The entropy falls as the exponent grows, so the bracket is doubled until its end is below the target.
+        high = 8.0
+        while high < MOST_EXPONENT and _facts(shares, [high])[high][0] >= target_entropy:
+            high *= 2
+        a = _bisect(shares, 0.0, high, False, lambda f: f[0] >= min(target_entropy, most))
     else:
         def within(f: tuple[float, float, float]) -> bool:
             most = f[1] / f[2] if budget is None else f[1] * budget / all_tokens
@@ -96,7 +108,7 @@ def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, t
     n = F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.col("total"))).cast("int")
     full = F.floor("epochs")
     planned = planned.select(F.col("source").alias("_mix_source"), F.col("weight").alias("_mix_weight"), full.alias("_mix_full"), n.alias("_mix_n"), F.round((F.col("epochs") - full) * F.col("total")).cast("long").alias("_mix_rest"))
-    h = F.xxhash64("doc_id", F.lit(seed))
+    h = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(seed))).otherwise(F.xxhash64(*docs.columns, F.lit(seed)))
     keyed = docs.withColumns({"mix_tokens": tokens, "_mix_h": h}).join(small(planned), F.col(source).eqNullSafe(F.col("_mix_source"))).withColumn("_mix_block", F.pmod("_mix_h", "_mix_n").cast("int"))
     #: The partial epoch: running sums over the source's block totals, in that epoch's order.
     blocks = keyed.groupBy("_mix_source", "_mix_block").agg(F.sum("mix_tokens").alias("_mix_t"), F.first("_mix_rest").alias("_mix_rest"), F.first("_mix_full").alias("_mix_full"))
@@ -104,9 +116,13 @@ def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, t
     run = F.sum("_mix_t").over(Window.partitionBy("_mix_source").orderBy(order, "_mix_block"))
     blocks = blocks.withColumn("_mix_run", run).select(F.col("_mix_source").alias("_mix_s"), F.col("_mix_block").alias("_mix_b"), F.when(F.col("_mix_run") <= F.col("_mix_rest"), 1).when(F.col("_mix_run") - F.col("_mix_t") < F.col("_mix_rest"), 0).otherwise(-1).alias("_mix_take"), (F.col("_mix_rest") - (F.col("_mix_run") - F.col("_mix_t"))).alias("_mix_room"))
     drawn = keyed.join(small(blocks), F.col("_mix_source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_block") == F.col("_mix_b")))
-    cut = drawn.filter("_mix_take = 0")
-    cut = cut.withColumn("_mix_fits", F.sum("mix_tokens").over(Window.partitionBy("_mix_source", "_mix_block").orderBy("_mix_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) <= F.col("_mix_room"))
-    both = drawn.filter("_mix_take <> 0").withColumn("_mix_fits", F.col("_mix_take") == 1).union(cut)
+    #: A source has one block at most that its budget cuts; the place of the last row that fits is its cut.
+    place = F.struct("_mix_h", "doc_id", "mix_tokens")
+    spent = F.sum("mix_tokens").over(Window.partitionBy("_mix_source").orderBy("_mix_h", "doc_id", "mix_tokens").rangeBetween(Window.unboundedPreceding, 0))
+    narrow = drawn.filter("_mix_take = 0").select("_mix_source", "_mix_h", "doc_id", "mix_tokens", "_mix_room").withColumn("_mix_spent", spent)
+    cuts = narrow.filter("_mix_spent <= _mix_room").groupBy(F.col("_mix_source").alias("_mix_c")).agg(F.max(place).alias("_mix_cut"))
+    met = drawn.join(small(cuts), F.col("_mix_source").eqNullSafe(F.col("_mix_c")), "left")
+    both = met.withColumn("_mix_fits", (F.col("_mix_take") == 1) | ((F.col("_mix_take") == 0) & F.coalesce(place <= F.col("_mix_cut"), F.lit(False))))
     epochs = F.sequence(F.lit(1), (F.col("_mix_full") + F.col("_mix_fits").cast("int")).cast("int"))
     some = both.filter("_mix_full > 0 or _mix_fits").withColumn("mix_epoch", F.explode(epochs))
     rank = F.pmod(_order("_mix_source", "_mix_block", F.col("mix_epoch"), seed), F.lit(1 << 31)).cast("long")
