@@ -21,6 +21,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import bounded
 from .util import staged
 
 #: Hex digits of the first ranges, and further digits a round; ranges held by the driver at most.
@@ -148,5 +149,5 @@ def shard(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     cells = placed.groupBy("shard", "cell").count()
     before = cells.select("shard", "cell", F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     numbered = placed.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "sha")))
-    out = numbered.join(F.broadcast(before), ["shard", "cell"])
+    out = numbered.join(bounded(before, n_shards * CELLS * 32), ["shard", "cell"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
