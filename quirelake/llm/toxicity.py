@@ -2,20 +2,22 @@
 
 Training: of labelled rows, at most TRAIN_ROWS (in hashed order; a documented bound) count for each
 unit (a word, or the first 4, 5 or 6 bytes of one) the toxic and the other texts that have it. The
-log-odds ratio under a Dirichlet prior with the corpus rates gives each unit a weight and a z-score;
-units with z of LEAST_Z or more, at most MOST_UNITS by z, are the model: a table of bounded size.
+log-odds ratio under a Dirichlet prior with the corpus rates, drawn towards zero by CERTAIN standard
+errors, is the unit's score, positive or negative; units whose score is thereby zero need no entry.
 
-Scoring: a word scores the weight of its unit with the highest z, every other word DRIFT. A
-linear-time scan finds all maximal-scoring segments of the whole text. For a segment of score S in a
-text of n words, P = 1 - exp(-K n exp(-lambda S)) is the chance of one as good in harmless text;
-lambda solves the Karlin-Altschul equation for the harmless training words, K matches the segments
-seen in them. A segment with P of at most SIGNIFICANT is a toxic passage. The text's evidence is the
-sum of -ln P over its segments; a logistic fit on the training rows maps it to a score in 0 to 1.
+Scoring: every token scores that of its unit with the highest z-score (if none is positive, the lowest),
+plus DRIFT, so that text without evidence falls. A linear-time scan finds all maximal-scoring segments
+of the whole text. For a segment of score S in a text of n words, P = 1 - exp(-K n exp(-lambda S)) is
+the chance of one as good in harmless text; lambda solves the Karlin-Altschul equation for the scores
+of all harmless training words, K matches the segments seen in them. A segment with P of at most
+SIGNIFICANT is a toxic passage. The text's evidence is the sum of -ln P over its passages; a logistic
+fit on the training rows maps it to a score in 0 to 1.
 
 Words are runs of letters and digits after lower-casing A-Z. Cases: null and empty texts have no
 evidence and get the lowest score; a row with a null doc_id is scored and not held out; repeated rows
 each get a row; of contradicting labels of a doc_id, toxic stands. With no toxic or no other training
-row every score is the share of toxic ones (0 without any). An empty table gives no rows.
+row every score is the share of toxic ones (0 without any). An empty table gives no rows. Only doc_id
+and text are read (without_toxic returns all columns), so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -29,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U, among, chunks, joined, mix, prefix, span_hash, word_spans
+from .kernels import U, among, chunks, joined, mix, prefix, span_hash, word_hash, word_spans
 from .util import staged
 
-TRAIN_ROWS, MOST_UNITS = 20_000, 50_000
-LEAST_Z, MOST_WEIGHT, DRIFT, SIGNIFICANT = 3.0, 6.0, -0.1, 0.01
+TRAIN_ROWS = 20_000
+#: Standard errors that a log-odds ratio is drawn towards zero; what every token falls by; chance of a passage in harmless text.
+CERTAIN, DRIFT, SIGNIFICANT = 3.0, -0.1, 0.01
 PRIOR = 100.0
+#: Scores of harmless words are counted by thousandths.
+GRID = 1000
 PREFIXES = (4, 5, 6)
 #: Lower-cases A-Z; every other ASCII byte but digits and letters separates words.
 TABLE = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -52,7 +57,7 @@ def units(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf, at = joined([r.translate(TABLE) for r in raw])
     start, end, first = word_spans(buf, at, BLANK)
     sums = prefix(buf)
-    cols = [span_hash(sums, start, end)]
+    cols = [word_hash(buf, sums, start, end)]
     for k in PREFIXES:
         cols.append(np.where(end - start > k, mix(span_hash(sums, start, np.minimum(start + k, end)) + U(k)), U(0)))
     return np.stack(cols, axis=1), first
@@ -79,7 +84,7 @@ def unit_counts(train: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Sorted unit hashes with their weights and z-scores, and the calibration."""
+    """Sorted unit hashes with their scores and z-scores, and the calibration."""
 
     unit: np.ndarray
     weight: np.ndarray
@@ -89,17 +94,25 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
 
-    def segments(self, raw: list[bytes]) -> list[tuple[int, list[tuple[int, int, float]]]]:
-        """Of each text its number of words, and its maximal-scoring segments (first word, words, score)."""
+    def word_scores(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The score of every word of all texts, and each text's first word."""
         u, first = units(raw)
+        score = np.full(len(u), DRIFT)
         known = among(u.ravel(), self.unit).reshape(u.shape)
         word = np.flatnonzero(known.any(axis=1))
-        at = np.searchsorted(self.unit, u[word].ravel()).reshape(-1, u.shape[1])
-        at[~known[word]] = 0
-        z = np.where(known[word], self.z[at], -1.0) if len(word) else np.zeros((0, u.shape[1]))
-        score = self.weight[at[np.arange(len(word)), z.argmax(axis=1)]] if len(word) else np.zeros(0)
-        bounds = np.searchsorted(word, first)
-        return [(int(first[t + 1] - first[t]), maximal(word[a:b] - first[t], score[a:b]) if b > a else []) for t, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+        if len(word):
+            at = np.searchsorted(self.unit, u[word].ravel()).reshape(-1, u.shape[1])
+            at[~known[word]] = 0
+            high = np.where(known[word], self.z[at], -np.inf)
+            low = np.where(known[word], self.z[at], np.inf)
+            pick = np.where(high.max(axis=1) > 0, high.argmax(axis=1), low.argmin(axis=1))
+            score[word] += self.weight[at[np.arange(len(word)), pick]]
+        return score, first
+
+    def segments(self, raw: list[bytes]) -> list[tuple[int, list[tuple[int, int, float]]]]:
+        """Of each text its number of words, and its maximal-scoring segments (first word, words, score)."""
+        score, first = self.word_scores(raw)
+        return [(int(b - a), maximal(score[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
 
     def chance(self, n: int, score: float) -> float:
         return -math.expm1(-self.k * max(n, 1) * math.exp(-self.decay * score))
@@ -111,28 +124,44 @@ class Model:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.offset + self.slope * math.log1p(evidence)))))
 
 
-def maximal(at: np.ndarray, score: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments of a text whose words at score so and whose others score DRIFT, in linear time.
+def maximal(score: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (first word, words, score) of a text, in linear time.
 
-    A stack holds disjoint candidates with the running sums before and after each; a new word is merged
-    with the candidates back to the last one that began lower, if that one's end is lower than its own.
+    Runs of positive words are candidates from the start. A list holds disjoint candidates with the running
+    sums before and after each, and a link to the last candidate before that began lower; so a new run skips
+    what began higher, is merged back to where it can gain, and if nothing began lower the list is final.
     """
-    stack: list[tuple[float, float, int, int]] = []
-    total, next_word = 0.0, 0
-    for a, s in zip(at.tolist(), score.tolist(), strict=True):
-        total += DRIFT * (a - next_word)
-        low, total, first = total, total + s, a
-        next_word = a + 1
+    up = np.concatenate(([False], score > 0, [False]))
+    begin, end = np.flatnonzero(~up[:-1] & up[1:]), np.flatnonzero(up[:-1] & ~up[1:])
+    if not len(begin):
+        return []
+    sums = np.concatenate(([0.0], np.cumsum(score)))
+    out: list[tuple[int, int, float]] = []
+    low, high, first, last, link = [], [], [], [], []
+
+    def settle() -> None:
+        out.extend((f, e - f, r - w) for f, e, r, w in zip(first, last, high, low, strict=True))
+        for held in (low, high, first, last, link):
+            held.clear()
+
+    for f, e, w, r in zip(begin.tolist(), end.tolist(), sums[begin].tolist(), sums[end].tolist(), strict=True):
+        k = len(low) - 1
         while True:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] >= low:
-                k -= 1
-            if k < 0 or stack[k][1] >= total:
-                stack.append((low, total, first, a))
+            while k >= 0 and low[k] >= w:
+                k = link[k]
+            if k < 0 or high[k] >= r:
                 break
-            low, _, first, _ = stack[k]
-            del stack[k:]
-    return [(f, e - f + 1, r - low) for low, r, f, e in stack]
+            f, w = first[k], low[k]
+            before = link[k]
+            for held in (low, high, first, last, link):
+                del held[k:]
+            k = before
+        if k < 0:
+            settle()
+        for held, x in ((low, w), (high, r), (first, f), (last, e), (link, k)):
+            held.append(x)
+    settle()
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -149,12 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     all_toxic, all_other = counts.agg(F.sum("toxic"), F.sum("other")).first()
     prior = 0.5 + PRIOR * (F.col("toxic") + F.col("other")) / F.lit(float(all_toxic + all_other))
     a, b = F.col("toxic") + prior, F.col("other") + prior
-    weight = F.log(a / (all_toxic + PRIOR - a)) - F.log(b / (all_other + PRIOR - b))
-    scored = counts.select("unit", "toxic", "other", weight.alias("weight"), (weight / F.sqrt(1 / a + 1 / b)).alias("z"))
-    best = scored.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "unit").limit(MOST_UNITS).toPandas()
-    unit = best["unit"].to_numpy(dtype=np.int64).view(U)
+    odds = F.log(a / (all_toxic + PRIOR - a)) - F.log(b / (all_other + PRIOR - b))
+    error = F.sqrt(1 / a + 1 / b)
+    scored = counts.select("unit", (F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - CERTAIN * error)).alias("weight"), (odds / error).alias("z"))
+    model_rows = scored.filter("weight <> 0").toPandas()  # part of the vocabulary of TRAIN_ROWS texts
+    unit = model_rows["unit"].to_numpy(dtype=np.int64).view(U)
     order = np.argsort(unit)
-    model = Model(unit[order], np.minimum(best["weight"].to_numpy(dtype=float), MOST_WEIGHT)[order], best["z"].to_numpy(dtype=float)[order])
+    model = Model(unit[order], model_rows["weight"].to_numpy(dtype=float)[order], model_rows["z"].to_numpy(dtype=float)[order])
     return calibrate(model, texts)
 
 
@@ -163,29 +193,37 @@ def calibrate(model: Model, texts: DataFrame) -> Model:
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw in chunks(batches, "text"):
-            found = model.segments(raw)
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for *_, s in x] for _, x in found], pa.list_(pa.float64()))], names=["toxic", "n", "scores"])
-
-    rows = texts.select("text", "toxic").mapInArrow(scan, "toxic int, n long, scores array<double>").collect()
+            score, first = model.word_scores(raw)
+            bounds = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+            values, counts = zip(*(np.unique(np.rint(score[a:b] * GRID).astype(np.int64), return_counts=True) for a, b in bounds), strict=True)
+            lists = [[s for *_, s in maximal(score[a:b])] for a, b in bounds]
+            kinds = ((values, pa.int64()), (counts, pa.int64()), (lists, pa.float64()))
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([b - a for a, b in bounds], pa.int64()), *(pa.array([list(x) for x in rows], pa.list_(kind)) for rows, kind in kinds)], names=["toxic", "n", "value", "times", "scores"])
+
+    seen = staged(texts.select("text", "toxic").mapInArrow(scan, "toxic int, n long, value array<long>, times array<long>, scores array<double>"), "seen")
+    words = seen.filter("toxic = 0").select(F.explode(F.arrays_zip("value", "times")).alias("x")).groupBy("x.value").agg(F.sum("x.times").alias("n")).toPandas()
+    rows = seen.select("toxic", "n", "scores").collect()
+    model.decay = decay(words["value"].to_numpy(dtype=float) / GRID, words["n"].to_numpy(dtype=float))
     harmless = [r for r in rows if not r["toxic"]]
-    words, seen = sum(r["n"] for r in harmless), [s for r in harmless for s in r["scores"]]
-    typical = float(np.median(model.weight)) if len(model.weight) else 1.0
-    rate = (len(seen) + 0.5) / (words + 1)
-    low, high = 1e-3, 20.0
-    for _ in range(60):  # rate * exp(l * typical) + (1 - rate) * exp(l * DRIFT) = 1
-        mid = (low + high) / 2
-        if rate * math.exp(min(700.0, mid * typical)) + (1 - rate) * math.exp(mid * DRIFT) > 1:
-            high = mid
-        else:
-            low = mid
-    model.decay = low
-    model.k = min(0.1, (len(seen) + 0.5) / (sum(max(r["n"], 1) for r in harmless) * math.exp(-model.decay * typical)))
+    found = sorted(s for r in harmless for s in r["scores"])
+    middle = found[len(found) // 2] if found else 1.0
+    model.k = min(1.0, (len(found) / 2 + 0.5) / (sum(max(r["n"], 1) for r in harmless) * math.exp(-model.decay * middle)))
     x = np.array([math.log1p(model.evidence(r["n"], [(0, 0, s) for s in r["scores"]])) for r in rows])
     y = np.array([r["toxic"] for r in rows], dtype=float)
     model.offset, model.slope = logistic(x, y)
     return model
 
 
+def decay(score: np.ndarray, n: np.ndarray) -> float:
+    """The positive lambda with sum(n * exp(lambda * score)) = sum(n), for scores whose mean is negative."""
+    low, high = 1e-3, 20.0
+    share = n / max(n.sum(), 1.0)
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if (share * np.exp(np.minimum(mid * score, 700.0))).sum() > 1 else (mid, high)
+    return low
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
     """Offset and slope (at least 0) by Newton's method with a small penalty on the slope."""
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
