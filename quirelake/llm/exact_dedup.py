@@ -42,14 +42,23 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]", "")
 
 
-def with_norm(docs: DataFrame) -> DataFrame:
-    norm = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("points"), normalised(F.col("text")).alias("norm"))
-    return norm.select("*", F.unhex(F.sha2("norm", 256)).alias("sha"), F.octet_length("norm").alias("bytes"), F.xxhash64("norm").alias("check"))
+def first_hash(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
+def second_hash(norm: Column) -> Column:
+    return F.xxhash64(norm)
+
+
+def with_digest(rows: DataFrame) -> DataFrame:
+    """rows with the digest of their column norm."""
+    return rows.withColumns({"sha": first_hash(F.col("norm")), "bytes": F.octet_length("norm"), "check": second_hash(F.col("norm"))})
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Narrow rows; to be staged, as the salt is dealt row by row."""
-    return with_norm(docs).select("doc_id", "points", *GROUP, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    norm = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("points"), normalised(F.col("text")).alias("norm"))
+    return with_digest(norm).select("doc_id", "points", *GROUP, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
 
 
 def rank(points: Column, doc_id: Column) -> Column:
@@ -171,16 +180,17 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
 def compare_bytes(positives: DataFrame, *sides: DataFrame) -> None:
     """Stop if texts of the sides that share a positive's digest differ in a byte.
 
-    A Bloom filter leaves the texts of positives (where it is small enough to be broadcast), and of a task's
-    equal digests the least and the greatest text go on, so copies are combined before the shuffle.
+    A Bloom filter of second hashes leaves the texts of positives (where it is small enough to be broadcast), and
+    of a task's equal digests the least and the greatest text go on, so copies are combined before the shuffle.
     """
-    texts = sides[0].select("doc_id", "text").union(sides[1].select("doc_id", "text"))
-    texts, n = with_norm(texts).select(*GROUP, "norm", F.hex("sha").alias("key")), positives.count()
+    n = positives.count()
     if not n:
         return
+    texts = sides[0].select("text").union(sides[1].select("text")).select(normalised(F.col("text")).alias("norm"))
     if fits(n):
-        texts = possible(texts, positives.select(F.hex("sha").alias("key")), n)
-    ends = texts.groupBy(*GROUP).agg(F.min("norm").alias("least"), F.max("norm").alias("most")).filter("least <> most")
+        keys = positives.select(F.col("check").cast("string").alias("key"))
+        texts = possible(texts.select("norm", second_hash(F.col("norm")).cast("string").alias("key")), keys, n)
+    ends = with_digest(texts).groupBy(*GROUP).agg(F.min("norm").alias("least"), F.max("norm").alias("most")).filter("least <> most")
     differing = ends.join(positives.select(GROUP), GROUP, "left_semi").select(F.hex("sha").alias("sha")).first()
     if differing:
         raise ValueError(f"different texts share the digest {differing['sha']}, their length and their second hash")

@@ -96,8 +96,8 @@ def test_kept_snapshot(spark, tmp_path):
 
 
 def test_bytes_are_compared(spark, monkeypatch):
-    made = exact_dedup.with_norm
-    monkeypatch.setattr(exact_dedup, "with_norm", lambda d: made(d).withColumns({"sha": F.unhex(F.lit("00" * 32)), "check": F.lit(1).cast("long")}))
+    monkeypatch.setattr(exact_dedup, "first_hash", lambda norm: F.unhex(F.lit("00" * 32)))
+    monkeypatch.setattr(exact_dedup, "second_hash", lambda norm: F.lit(1).cast("long"))
     one, two, three = (spark.createDataFrame([(k, t)], "doc_id long, text string") for k, t in ((1, "ab"), (2, "cd"), (3, "a b")))
     with pytest.raises(ValueError, match="share the digest"):
         exact_dedup.exact_dedup(one, two)
