@@ -1,43 +1,35 @@
-"""Vector functions over array columns."""
+"""Vectors in array columns: batches as numpy matrices inside Arrow functions, sign codes as packed bytes."""
 
 from __future__ import annotations
 
-from functools import reduce
+import numpy as np
+import pyarrow as pa
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-#: Up to this width a product with a fixed vector is written out, so that it is compiled with the rest of its stage.
-WRITTEN_OUT = 256
+def matrix(col: pa.Array, width: int) -> np.ndarray:
+    """The batch's vectors as doubles, one a row, cut or filled with zeros to the width; null counts as zero."""
+    lists = col.cast(pa.large_list(pa.float64()))
+    sizes = np.array([n or 0 for n in lists.value_lengths().to_pylist()], dtype=np.int64)
+    values = np.nan_to_num(lists.flatten().to_numpy(zero_copy_only=False))
+    if len(sizes) and (sizes == width).all():
+        return values.reshape(len(sizes), width)
+    out, at = np.zeros((len(sizes), width)), np.concatenate(([0], np.cumsum(sizes)))
+    for k, n in enumerate(np.minimum(sizes, width)):
+        out[k, :n] = values[at[k] : at[k] + n]
+    return out
 
 
-def dot(v: Column, q: list[float]) -> Column:
-    if len(q) <= WRITTEN_OUT:
-        return reduce(lambda a, b: a + b, [F.get(v, F.lit(k)).cast("double") * F.lit(float(x)) for k, x in enumerate(q)])
-    return F.aggregate(F.zip_with(v, F.lit([float(x) for x in q]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0)))
+def cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Cosine of every row with every query, in doubles; 0 if either is zero."""
+    sizes = np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(queries, axis=1)[None, :]
+    return np.divide(rows @ queries.T, sizes, out=np.zeros_like(sizes), where=sizes > 0)
 
 
-def norm(v: Column, width: int) -> Column:
-    if width <= WRITTEN_OUT:
-        return F.sqrt(reduce(lambda a, b: a + b, [F.get(v, F.lit(k)).cast("double") * F.get(v, F.lit(k)).cast("double") for k in range(width)]))
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+def codes(rows: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """A bit for each dimension strictly above the mean, eight to a byte."""
+    return np.packbits(rows > mean, axis=1)
 
 
-def cosine(v: Column, q: list[float]) -> Column:
-    """Cosine with a fixed vector, in doubles; 0 if either is zero."""
-    own = sum(float(x) * float(x) for x in q) ** 0.5
-    length = norm(v, len(q)) * F.lit(own)
-    return F.when(length > 0, dot(v, q) / length).otherwise(F.lit(0.0))
-
-
-def code(v: Column, mean: list[float]) -> Column:
-    """A bit for each dimension above the mean, 64 to a long."""
-    words = []
-    for at in range(0, len(mean), 64):
-        bits = [F.when(F.get(v, F.lit(k)).cast("double") > F.lit(float(mean[k])), F.lit((1 << (k - at)) - (1 << 64) * (k - at == 63))).otherwise(F.lit(0)).cast("long") for k in range(at, min(at + 64, len(mean)))]
-        words.append(reduce(lambda a, b: a.bitwiseOR(b), bits))
-    return F.array(*words)
-
-
-def hamming(a: Column, words: list[int]) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.lit(w))) for k, w in enumerate(words)])
+def distances(coded: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Hamming distance of every code with every query's code."""
+    return np.stack([np.bitwise_count(coded ^ q).sum(axis=1, dtype=np.int32) for q in queries], axis=1) if len(queries) else np.zeros((len(coded), 0), dtype=np.int32)

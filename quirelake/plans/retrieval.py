@@ -1,29 +1,54 @@
-"""Retrieval queries over documents and embeddings."""
+"""Retrieval queries over documents, conversations and embeddings, by indexes kept in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import code
+from ..functions import chunks
 from ..operators import retrieval
 from ..session import table
 
 #: The queries' words, result size, and digits that scores are compared by.
-QUERY, ACCENT_QUERY, K, DIGITS = "the heron eaux ention nicht", "etion ecoute heron", 20, 6
+QUERY, ACCENT_QUERY, TURN_QUERY, K, DIGITS = "the heron eaux ention nicht", "etion ecoute heron", "reaux onça the ention", 20, 6
+#: Conversations are told apart in passage ids by this factor.
+TURNS = 1000
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("item"), "text")
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as passages, conversations as items."""
+    c = table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null")
+    return c.groupBy((F.col("conv_id") * TURNS + F.col("turn")).alias("id"), F.col("conv_id").alias("item")).agg(F.min("text").alias("text"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-def _query_vector(vectors: DataFrame) -> list[float]:
-    """The vector with id 0: one row."""
-    return list(vectors.filter("id = 0").first()["vector"])
+def _turn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The k-th vector belongs to turn k % 4 of conversation k / 4."""
+    return table(spark, sf_dir, "embeddings").select((F.floor(F.col("vec_id") / 4) * TURNS + F.col("vec_id") % 4).alias("id"), F.col("embedding").alias("vector"))
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    return retrieval.kept("documents", table(spark, sf_dir, "documents"), lambda path: retrieval.build(_passages(spark, sf_dir), path))
+
+
+def turn_index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    return retrieval.kept("turns", table(spark, sf_dir, "conversations"), lambda path: retrieval.build(_turns(spark, sf_dir), path, _turn_vectors(spark, sf_dir)))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    return retrieval.kept("vectors", table(spark, sf_dir, "embeddings"), lambda path: retrieval.build_vectors(_vectors(spark, sf_dir), path))
+
+
+def _asked(vectors: DataFrame) -> DataFrame:
+    """The stated queries: every vector whose id is divisible by 20."""
+    return vectors.filter(F.col("id") % 20 == 0)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -31,29 +56,29 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.document_frequency(retrieval.postings(_passages(spark, sf_dir)))
+    return document_index(spark, sf_dir).read("terms").select("term", "df", "cf")
 
 
 def high_df_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _passages(spark, sf_dir)
-    return retrieval.high_df_terms(retrieval.document_frequency(retrieval.postings(p)), p.count()).select("term", "df")
+    index = document_index(spark, sf_dir)
+    return retrieval.high_df_terms(index.read("terms"), index.facts()[0]).select("term", "df")
 
 
 def accent_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.accent_variants(term_df(spark, sf_dir).select("term", "df"))
+    return retrieval.accent_variants(document_index(spark, sf_dir).read("terms"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(retrieval.top(retrieval.bm25(_passages(spark, sf_dir), QUERY, accents=False), K, digits=DIGITS))
+    return _rounded(retrieval.top(retrieval.bm25(document_index(spark, sf_dir), QUERY, accents=False), K, digits=DIGITS))
 
 
 def bm25_accent_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(retrieval.top(retrieval.bm25(_passages(spark, sf_dir), ACCENT_QUERY), K, digits=DIGITS))
+    return _rounded(retrieval.top(retrieval.bm25(document_index(spark, sf_dir), ACCENT_QUERY), K, digits=DIGITS))
 
 
 def vector_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return _rounded(retrieval.top(retrieval.vector_scores(v, _query_vector(v)), K, digits=DIGITS))
+    return _rounded(retrieval.nearest(v, _asked(v), K, DIGITS))
 
 
 def corpus_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,43 +86,81 @@ def corpus_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hamming_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    mean = [r["mean"] for r in retrieval.corpus_mean(v).orderBy("pos").collect()]
-    own = v.filter("id = 0").select(code(F.col("vector"), mean).alias("code")).first()["code"]
-    return retrieval.hamming_pool(retrieval.codes(v, mean), own, 320)
+    """The 320 rows nearest to vector 0 by code."""
+    own = list(_vectors(spark, sf_dir).filter("id = 0").first()["vector"])
+    return retrieval.hamming_pool(vector_index(spark, sf_dir), own, 320)
 
 
 def vector_topk_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    return _rounded(retrieval.two_stage(v, _query_vector(v), K))
+    index = vector_index(spark, sf_dir)
+    return _rounded(retrieval.two_stage(index, _asked(index.read("vectors")), K, DIGITS))
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by text and by the vector of the same id."""
-    v = _vectors(spark, sf_dir)
-    return _rounded(retrieval.hybrid(_passages(spark, sf_dir), v, QUERY, _query_vector(v), limit=10, digits=DIGITS))
+    """Turns by words and by the vector with id 0, a conversation once."""
+    index = turn_index(spark, sf_dir)
+    own = list(_vectors(spark, sf_dir).filter("id = 0").first()["vector"])
+    return _rounded(retrieval.hybrid(index, _turns(spark, sf_dir), TURN_QUERY, own, limit=10, digits=DIGITS)).select("id", "item", "score")
+
+
+def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms after every tenth document has got the text of its language's name and every seventh has gone."""
+    index, docs = document_index(spark, sf_dir), table(spark, sf_dir, "documents")
+    changed = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), F.concat_ws(" ", F.lit("changed text in"), "lang").alias("text"))
+    gone = docs.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("id"))
+    path = f"{index.path}-refreshed-{retrieval.uuid.uuid4().hex}"
+    return retrieval.refresh(index, path, changed, gone).read("terms").select("term", "df", "cf")
+
+
+def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _turns(spark, sf_dir).select("id", "item", F.when(F.col("id") % 2 == 0, "asked").otherwise("answered").alias("source"))
+    return retrieval.counts(turn_index(spark, sf_dir), c)
 
 
 def merge_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source as a library of its own, searched by the same words."""
     docs = table(spark, sf_dir, "documents")
-    hits = retrieval.bm25(_passages(spark, sf_dir), QUERY, accents=False).join(docs.select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("library")), "id")
-    return retrieval.merge_by_rank(_rounded(hits), K).select("library", "id", "score", "rank")
+    hits = retrieval.bm25(document_index(spark, sf_dir), QUERY, accents=False).join(docs.select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("library")), "id")
+    return retrieval.merge_by_rank(_rounded(hits), K).select("library", "id", "score", "rank", "hits")
 
 
 def passages_in_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each conversation the turns that answer the words best, by its own statistics."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("id"), "text")
-    return _rounded(retrieval.rank_within(c, c, QUERY, 3).filter("score > 0"))
+    return _rounded(retrieval.rank_within(c, QUERY, 3).filter("score > 0"))
+
 
+def passage_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in overlapping passages of 512 characters."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunks.chunks(F.col("text"))).alias("c"))
+    return d.select("doc_id", F.col("c.index").alias("pos"), F.length("c.text").alias("chars"), F.md5("c.text").alias("text_md5"))
 
-QUERIES = {f.__name__: f for f in (term_df, high_df_terms, accent_variants, bm25_topk, bm25_accent_expanded, vector_topk_exact, corpus_mean, hamming_pool, vector_topk_two_stage, hybrid_search, merge_by_rank, passages_in_conversation)}
+
+def passages_in_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document the passages that answer the words best, with their place, section and likely page of ten."""
+    d = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("doc"), "text", F.explode(chunks.placed_chunks(F.col("text"))).alias("c"))
+    placed = d.select("doc", F.col("c.index").cast("long").alias("id"), F.col("c.text").alias("text"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), chunks.section_before(F.col("text"), F.col("c.start")).alias("section"), chunks.approximate_page(F.col("c.start"), F.length("text"), F.lit(10)).alias("page"))
+    best = retrieval.rank_within(placed.select("doc", "id", "text"), QUERY, 5)
+    return _rounded(best.join(placed.drop("text"), ["doc", "id"]))
+
+
+def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents with the part of their text around the first word of the query."""
+    index = document_index(spark, sf_dir)
+    best = retrieval.top(retrieval.bm25(index, QUERY), K, digits=DIGITS)
+    common = {r["term"] for r in retrieval.high_df_terms(index.read("terms"), index.facts()[0]).collect()}
+    words = [t for t, _ in retrieval.words_of(spark, QUERY)]
+    return _rounded(best.join(_passages(spark, sf_dir), "id").select("id", "score", chunks.snippet(F.col("text"), [w for w in words if w not in common] or words).alias("snippet")))
+
+
+QUERIES = {f.__name__: f for f in (term_df, high_df_terms, accent_variants, bm25_topk, bm25_accent_expanded, vector_topk_exact, corpus_mean, hamming_pool, vector_topk_two_stage, hybrid_search, index_refresh, index_counts, merge_by_rank, passages_in_conversation, passage_chunks, passages_in_document, search_snippets)}
 
 _TOKENS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) > 1)"
-_TF = f"""toks AS (SELECT doc_id AS id, {_TOKENS.format("text")} AS t FROM documents),
+_DOCS = "SELECT doc_id AS id, text FROM documents"
+_TF = f"""toks AS (SELECT id, {_TOKENS.format("text")} AS t FROM ({_DOCS})),
     corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
-    tf AS (SELECT id, len_t AS length, term, count(*) AS tf FROM (SELECT id, len(t) AS len_t, unnest(t) AS term FROM toks) GROUP BY ALL),
-    df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term)"""
+    tf AS MATERIALIZED (SELECT id, len_t AS length, term, count(*) AS tf FROM (SELECT id, len(t) AS len_t, unnest(t) AS term FROM toks) GROUP BY ALL),
+    df AS MATERIALIZED (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term)"""
 
 
 def _scores(query: str, accents: bool = True) -> str:
@@ -118,27 +181,50 @@ _COSINE = """cosine AS (SELECT v.vec_id AS id, list_inner_product(v.embedding::D
     FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
 _MEAN = "m AS (SELECT pos, avg(x) AS mean FROM (SELECT vec_id, unnest(range(len(embedding)))::INTEGER AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY pos)"
 
+_TURNS = "SELECT conv_id * 1000 + turn AS id, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1"
+_CHANGED = "SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN concat_ws(' ', 'changed text in', lang) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0"
+_SPACES = r"[\s\x{000b}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+#: Where a passage that begins at start ends: at the last blank in its second half, else at its full size.
+_END = """CASE WHEN {start} + 512 >= length(t) THEN length(t)
+    WHEN strpos(reverse(substr(t, {start} + 1, 513)), ' ') > 0 AND 513 - strpos(reverse(substr(t, {start} + 1, 513)), ' ') > 256 THEN {start} + 513 - strpos(reverse(substr(t, {start} + 1, 513)), ' ')
+    ELSE {start} + 512 END"""
+
 ORACLE = {
     "term_df": f"WITH {_TF} SELECT term, df, cf FROM df",
     "high_df_terms": f"WITH {_TF} SELECT term, df FROM df, corpus WHERE n >= 100 AND df >= ceil(0.3 * n)",
-    "accent_variants": f"""WITH {_TF}, k AS (SELECT term, df, strip_accents(term) AS folded FROM df)
-        SELECT k.folded, k.term, k.df, coalesce(p.df, 0) AS self_df FROM k LEFT JOIN df p ON p.term = k.folded WHERE k.folded <> k.term""",
+    "accent_variants": f"""WITH {_TF}, k AS MATERIALIZED (SELECT term, df, strip_accents(term) AS folded FROM df WHERE strip_accents(term) <> term)
+        SELECT k.folded, k.term, k.df, coalesce(p.df, 0) AS self_df FROM k LEFT JOIN df p ON p.term = k.folded""",
     "bm25_topk": f"WITH {_scores(QUERY, accents=False)} SELECT id, round(score, 6) AS score FROM bm25 WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT {K}",
     "bm25_accent_expanded": f"WITH {_scores(ACCENT_QUERY)} SELECT id, round(score, 6) AS score FROM bm25 WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT {K}",
-    "vector_topk_exact": f"WITH {_COSINE} SELECT id, round(score, 6) AS score FROM cosine WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT {K}",
+    "vector_topk_exact": f"""WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])
+            / sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]) * list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS s
+            FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0)
+        SELECT query, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(s, 6) DESC, id) AS rank FROM s WHERE s > 0 QUALIFY rank <= {K}""",
     "corpus_mean": f"WITH {_MEAN} SELECT pos, round(mean, 9) AS mean FROM m",
     "hamming_pool": f"""WITH {_MEAN}, bits AS (SELECT e.vec_id AS id, m.pos, e.x > m.mean AS bit
             FROM (SELECT vec_id, unnest(range(len(embedding)))::INTEGER AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings) e JOIN m USING (pos))
         SELECT b.id, count(*) FILTER (b.bit <> q.bit)::INTEGER AS distance FROM bits b JOIN bits q ON q.id = 0 AND q.pos = b.pos
         GROUP BY b.id ORDER BY 2, 1 LIMIT 320""",
-    "hybrid_search": f"""WITH {_scores(QUERY)}, {_COSINE},
-        l1 AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS place FROM bm25 WHERE score > 0 QUALIFY place <= 30),
-        l2 AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS place FROM cosine WHERE score > 0 QUALIFY place <= 30),
-        f AS (SELECT id, sum(1.0 / (60 + place)) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY id)
-        SELECT f.id, f.id AS item, round(score, 6) AS score FROM f JOIN documents ON doc_id = f.id ORDER BY 3 DESC, 1 LIMIT 10""",
+    "hybrid_search": f"""WITH {_scores(TURN_QUERY).replace(_DOCS, _TURNS)}, {_COSINE},
+        item AS (SELECT id, id // 1000 AS item FROM ({_TURNS})),
+        l1 AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS place FROM bm25 WHERE score > 0),
+        l2 AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS place FROM (SELECT id // 4 * 1000 + id % 4 AS id, score FROM cosine) WHERE score > 0),
+        both_lists AS (SELECT * FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) JOIN item USING (id)),
+        pools AS (SELECT 30 * 2 ** k AS pool FROM range(7) t(k)),
+        pool AS (SELECT coalesce(min(pool), 1920) AS pool FROM (SELECT pool, (SELECT count(DISTINCT item) FROM both_lists WHERE place <= pool) AS n FROM pools) WHERE n >= 10),
+        f AS (SELECT id, item, sum(1.0 / (60 + place)) AS score FROM both_lists, pool WHERE place <= pool GROUP BY ALL),
+        one AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY item ORDER BY round(score, 6) DESC, id) = 1)
+        SELECT id, item, round(score, 6) AS score FROM one ORDER BY 3 DESC, 1 LIMIT 10""",
+    "index_refresh": f"""WITH {_TF.replace(_DOCS, _CHANGED)} SELECT term, df, cf FROM df""",
+    "index_counts": f"""SELECT CASE WHEN id % 2 = 0 THEN 'asked' ELSE 'answered' END AS source, count(*) AS passages, count(DISTINCT id // 1000) AS items,
+        (SELECT count(*) FROM ({_TURNS})) AS documents, (SELECT count(*) FROM embeddings) AS vectors FROM ({_TURNS}) GROUP BY 1""",
+    "passage_chunks": rf"""WITH RECURSIVE d AS (SELECT doc_id, trim(regexp_replace(text, '{_SPACES}+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+        c AS (SELECT doc_id, t, 0 AS pos, 0 AS start, {_END.format(start="0")} AS stop FROM d WHERE t <> ''
+            UNION ALL SELECT doc_id, t, pos + 1, greatest(stop - 64, start + 1), {_END.format(start="greatest(stop - 64, start + 1)")} FROM c WHERE stop < length(t))
+        SELECT doc_id, pos, length(trim(substr(t, start + 1, stop - start))) AS chars, md5(trim(substr(t, start + 1, stop - start))) AS text_md5 FROM c""",
     "merge_by_rank": f"""WITH {_scores(QUERY, accents=False)}, h AS (SELECT coalesce(source, '') AS library, id, round(score, 6) AS score,
-            row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY round(score, 6) DESC, id) AS rank FROM bm25 JOIN documents ON doc_id = id WHERE score > 0)
-        SELECT library, id, score, rank FROM h WHERE rank <= {K} ORDER BY rank, library LIMIT {K}""",
+            row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY round(score, 6) DESC, id) AS rank, count(*) OVER (PARTITION BY coalesce(source, '')) AS hits FROM bm25 JOIN documents ON doc_id = id WHERE score > 0)
+        SELECT library, id, score, rank, hits FROM h WHERE rank <= {K} ORDER BY rank, library LIMIT {K}""",
     "passages_in_conversation": f"""WITH t AS (SELECT conv_id AS doc, turn AS id, {_TOKENS.format("text")} AS t FROM conversations),
         s AS (SELECT doc, count(*) AS n, avg(len(t)) AS avgdl FROM t GROUP BY doc),
         tf AS (SELECT doc, id, length, term, count(*) AS tf FROM (SELECT doc, id, len(t) AS length, unnest(t) AS term FROM t)

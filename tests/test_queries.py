@@ -35,6 +35,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_two_stage_recall(spark):
-    exact = {r["id"] for r in QUERIES["vector_topk_exact"](spark, SMALL).collect()}
-    found = {r["id"] for r in QUERIES["vector_topk_two_stage"](spark, SMALL).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
+    large = "/root/testdata/sf0.1"
+    hits = lambda name: {(r["query"], r["id"]) for r in QUERIES[name](spark, large).collect()}
+    exact, found = hits("vector_topk_exact"), hits("vector_topk_two_stage")
+    assert len(exact) == 20 * 100 and len(exact & found) >= 0.9 * len(exact)
