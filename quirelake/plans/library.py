@@ -105,13 +105,7 @@ def quote_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(n, "item_id").select("item_id", F.round(tx.similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
 
 
-def identifiers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of five digits or more on pages, as identifiers of a page are scanned."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"[0-9]{5,}"), F.lit(0))).alias("value"))
-    return p.groupBy("value").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
-
-
-QUERIES = {f.__name__: f for f in (title_key_dups, dup_year_range, dup_components, merge_coalesce, rater_kappa, rater_confusion, stage_outcomes, reviewer_agreement, prisma_flow, co_citation_pairs, mark_in_library, cited_by_topn, quote_similarity, identifiers_in_text)}
+QUERIES = {f.__name__: f for f in (title_key_dups, dup_year_range, dup_components, merge_coalesce, rater_kappa, rater_confusion, stage_outcomes, reviewer_agreement, prisma_flow, co_citation_pairs, mark_in_library, cited_by_topn, quote_similarity)}
 
 _KEY = r"nullif(trim(regexp_replace(regexp_replace(lower(strip_accents({})), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')), '')"
 _DOCS = f"(SELECT doc_id, sha256({_KEY.format('text')}) AS k FROM documents)"
@@ -149,5 +143,4 @@ ORACLE = {
         GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 25""",
     "quote_similarity": f"""WITH b AS (SELECT item_id, substr(regexp_replace({_KEY.format('text')}, '[^ -~]', '', 'g'), 1, 200) AS t FROM benchmark)
         SELECT b.item_id, round(1 - levenshtein(b.t, c.t)::DOUBLE / greatest(length(b.t), length(c.t)), 6) AS similarity FROM b JOIN b c ON c.item_id = b.item_id + 1""",
-    "identifiers_in_text": "SELECT value, count(*) AS n, min(page_id) AS first_page FROM (SELECT page_id, unnest(regexp_extract_all(html, '[0-9]{5,}')) AS value FROM pages) GROUP BY 1",
 }

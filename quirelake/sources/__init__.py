@@ -1 +1 @@
-"""Part of quirelake."""
+"""Readers of bibliographies and books."""
