@@ -55,6 +55,27 @@ def missing_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.missing_tiers(c, spark.range(1).select(F.inline(rows)), tiers)
 
 
+def item_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags after one is added and one taken away, with the boolean language on the result."""
+    p = _parts(spark, sf_dir)
+    changed = p.withColumn("tags", items.retag(F.col("tags"), F.array(F.lit("NEW")), F.array(F.lit("STEEL"))))
+    return items.search(changed, tag=["NEW && -BRASS"]).select("key", F.array_join(F.array_sort("tags"), ",").alias("tags"))
+
+
+def item_quick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by a word of the name; a word that no name has is sought in brand and type as well."""
+    p = _parts(spark, sf_dir).withColumn("all_tags", F.array_join("tags", " "))
+    hits = items.quick_search(p, "widget", ["title"], ["title", "itemType", "all_tags"])
+    more = items.quick_search(p, "economy", ["title"], ["title", "itemType", "all_tags"])
+    return hits.select("key", F.lit("narrow").alias("way")).union(more.select("key", F.lit("wide").alias("way")))
+
+
+def related_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers of a line as related both ways, each once."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    return items.symmetric(line)
+
+
 def parent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by region and nation of the customer, four hops above the line."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount")
@@ -78,7 +99,7 @@ def off_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 characters of every conversation, turn by turn."""
-    out = items.text_budget(table(spark, sf_dir, "conversations").filter("text is not null"), "conv_id", ["turn", "role", "text"], 2000)
+    out = items.text_budget(table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))), "conv_id", ["turn", "role", "text"], 2000)
     return out.select("conv_id", "turn", "role", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
@@ -91,7 +112,7 @@ def page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def last_heading_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each turn the user turn it stands under."""
-    c = table(spark, sf_dir, "conversations").filter("text is not null")
+    c = table(spark, sf_dir, "conversations")
     out = items.last_heading(c, "conv_id", "turn", F.col("role") == "user")
     return out.select("conv_id", "turn", F.md5("section").alias("section_md5"))
 
@@ -107,7 +128,7 @@ def digest_filter_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("text is not null")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(tx.csv_field(F.col("text"))).alias("field_md5"), F.md5(tx.csv_field(F.concat(F.element_at(F.array(F.lit("="), F.lit("-5"), F.lit("+")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")), F.col("lang")))).alias("guarded_md5"))
 
 
@@ -115,13 +136,26 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (item_filter_page, boolean_tags, top_level_semi, deletion_diff, missing_tier, parent_chain, tag_counts, off_taxonomy, text_budget, page_offsets, last_heading_asof, digest_filter_sort, csv_guard, html_text)}
+QUERIES = {f.__name__: f for f in (item_tags, item_quick_search, related_links, item_filter_page, boolean_tags, top_level_semi, deletion_diff, missing_tier, parent_chain, tag_counts, off_taxonomy, text_budget, page_offsets, last_heading_asof, digest_filter_sort, csv_guard, html_text)}
 
 _TAGS = "(SELECT p_partkey AS key, unnest(list_distinct(string_split(p_type, ' '))) AS tag FROM part)"
 _CSV = r"""CASE WHEN regexp_matches({0}, '^[=+@\t\r-]') AND NOT regexp_matches({0}, '^[+-](\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN '"''' || replace({0}, '"', '""') || '"'
     WHEN NOT regexp_matches({0}, '[",\r\n]') AND NOT regexp_matches({0}, '^\s|\s$') THEN {0} ELSE '"' || replace({0}, '"', '""') || '"' END"""
 
+_PIECE = tx.PIECE.replace("'", "''")
+_NAMES = ", ".join(f"{k!r}: " + ("chr(160)" if k == "nbsp" else chr(39) * 4 if v == chr(39) else f"'{v}'") for k, v in tx.ENTITIES.items())
+_READ = f"""array_to_string(list_transform(regexp_extract_all(coalesce(html, ''), '(?is){_PIECE}'), lambda x:
+    CASE WHEN x[1] = '<' AND length(x) > 1 THEN CASE WHEN regexp_matches(x, '(?i)^<\\s*/?\\s*({'|'.join(tx.BLOCKS)})\\b') THEN chr(10) ELSE ' ' END
+         WHEN x[1] = '&' AND length(x) > 1 THEN coalesce(MAP {{{_NAMES}}}[lower(x[2:-2])], x) ELSE x END), '')"""
+
 ORACLE = {
+    "item_tags": """WITH t AS (SELECT p_partkey AS key, list_sort(list_distinct(list_filter(list_append(string_split(p_type, ' '), 'NEW'), lambda x: x <> 'STEEL'))) AS tags FROM part)
+        SELECT key, array_to_string(tags, ',') AS tags FROM t WHERE NOT list_contains(tags, 'BRASS')""",
+    "item_quick_search": "SELECT p_partkey AS key, 'narrow' AS way FROM part WHERE contains(p_name, 'widget') UNION ALL SELECT p_partkey, 'wide' FROM part WHERE contains(lower(p_type), 'economy')",
+    "related_links": "SELECT DISTINCT a, b FROM (SELECT l_partkey AS a, l_suppkey AS b FROM lineitem UNION ALL SELECT l_suppkey, l_partkey FROM lineitem) WHERE a <> b",
+    "html_text": rf"""WITH r AS (SELECT page_id, {_READ} AS t FROM pages),
+        l AS (SELECT page_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\x{{00a0}}\x{{2007}}\x{{202f}}]+', ' ', 'g'))), chr(10)) AS t FROM r)
+        SELECT page_id, regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g') AS text FROM l""",
     "item_filter_page": "SELECT p_partkey AS key, p_name AS title, p_brand AS itemType FROM part WHERE p_size > 25 ORDER BY p_name, p_partkey LIMIT 50 OFFSET 50",
     "boolean_tags": """SELECT o_orderkey AS key, o_orderstatus AS itemType FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
         AND o_orderstatus <> 'F' AND (o_orderstatus <> 'P' OR o_orderstatus <> 'O')""",
@@ -135,16 +169,16 @@ ORACLE = {
     "tag_counts": f"SELECT tag, count(*) AS items FROM {_TAGS} GROUP BY 1",
     "off_taxonomy": f"SELECT tag, count(*) AS items FROM {_TAGS} WHERE tag NOT IN ('BRASS', 'STEEL', 'ECONOMY') GROUP BY 1",
     "text_budget": """WITH b AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-            FROM conversations WHERE text IS NOT NULL)
+            FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations))
         SELECT conv_id, turn, role, length(substr(text, 1, (2000 - before)::BIGINT)) AS chars, md5(substr(text, 1, (2000 - before)::BIGINT)) AS text_md5 FROM b WHERE before < 2000""",
     "page_offsets": """WITH b AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, coalesce(sum(length(coalesce(text, '')) + 2)
             OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM conversations)
         SELECT conv_id, turn, start, start + n AS "end", start <= 1000 AND start + n > 1000 AS holds FROM b""",
-    "last_heading_asof": """WITH c AS (SELECT * FROM conversations WHERE text IS NOT NULL), u AS (SELECT conv_id, turn, text FROM c WHERE role = 'user')
-        SELECT c.conv_id, c.turn, md5(u.text) AS section_md5 FROM c ASOF LEFT JOIN u ON c.conv_id = u.conv_id AND c.turn >= u.turn""",
+    "last_heading_asof": """WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND text IS NOT NULL)
+        SELECT c.conv_id, c.turn, md5(u.text) AS section_md5 FROM conversations c ASOF LEFT JOIN u ON c.conv_id = u.conv_id AND c.turn >= u.turn""",
     "digest_filter_sort": """WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY length(coalesce(text, '')) DESC, turn) AS k FROM conversations),
         n AS (SELECT conv_id, count(*) FILTER (lower(role) = 'user') AS user_turns, count(*) FILTER (lower(role) = 'assistant') AS assistant_turns FROM conversations GROUP BY 1)
         SELECT t.conv_id, turn, chars, user_turns, assistant_turns FROM t JOIN n USING (conv_id) WHERE k = 1""",
     "csv_guard": f"""SELECT doc_id, md5({_CSV.format("text")}) AS field_md5, md5({_CSV.format("g")}) AS guarded_md5
-        FROM (SELECT *, ['=', '-5', '+'][doc_id % 3 + 1] || lang AS g FROM documents WHERE text IS NOT NULL)""",
+        FROM (SELECT *, ['=', '-5', '+'][doc_id % 3 + 1] || lang AS g FROM documents)""",
 }

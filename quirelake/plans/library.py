@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import components, dedupe, graph, review
+from ..operators import components, dedupe, drafts, graph, quotes, review
 from ..session import table
 
 
@@ -99,15 +99,54 @@ def cited_by_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages whose first 200 letters are nearly alike, item by item with the one after it."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace(tx.title_key(F.col("text")), "[^ -~]", ""), 1, 200).alias("t"))
+    """How alike whole benchmark passages are, item by item with the one after it; letters outside ASCII count as one."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(tx.title_key(F.col("text")), "[^ -~]", "?").alias("t"))
     n = b.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
     return b.join(n, "item_id").select("item_id", F.round(tx.similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (title_key_dups, dup_year_range, dup_components, merge_coalesce, rater_kappa, rater_confusion, stage_outcomes, reviewer_agreement, prisma_flow, co_citation_pairs, mark_in_library, cited_by_topn, quote_similarity)}
+def _quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote"), "text"), docs
+
+
+def quote_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage word for word."""
+    return quotes.contained(*_quotes(spark, sf_dir)).select("quote", "doc")
+
+
+def quote_close_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage nearly."""
+    return quotes.close_matches(*_quotes(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+
+
+def _drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A draft for each part that cites by key, DOI, and author with year; and the items these may name."""
+    p = table(spark, sf_dir, "part")
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("See [@k"), size, F.lit("] and 10.1000/"), key, F.lit('. Then "the '), "p_name", F.lit(' goes on and on" (Brown, '), (F.col("p_size") + 1950).cast("string"), F.lit(")."))
+    none = F.lit(None).cast("string")
+    sizes = p.select("p_size").distinct().select(F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("key"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("k"), F.col("p_size").cast("string"))).alias("citekey"), none.alias("doi"), F.when(F.col("p_size") % 3 == 0, (F.col("p_size") + 1950).cast("string")).alias("year"), F.lit("A title").alias("title"), F.array(F.lit("brown")).alias("surnames"))
+    parts = p.filter("p_partkey % 5 = 0").select(F.concat(F.lit("P"), key).alias("key"), none.alias("citekey"), F.concat(F.lit("10.1000/"), key).alias("doi"), none.alias("year"), none.alias("title"), F.array().cast("array<string>").alias("surnames"))
+    return p.select(F.col("p_partkey").alias("doc"), text.alias("text")), sizes.union(parts)
+
+
+def draft_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, items = _drafts(spark, sf_dir)
+    works = drafts.with_references(drafts.targets(drafts.citations(text)), drafts.references(text))
+    return drafts.resolved(works, items).select("doc", "nth", "status", "matched_by", "key")
+
+
+def draft_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, _ = _drafts(spark, sf_dir)
+    return drafts.attached(text, drafts.quotations(text), drafts.citations(text))
+
+
+QUERIES = {f.__name__: f for f in (title_key_dups, dup_year_range, dup_components, merge_coalesce, rater_kappa, rater_confusion, stage_outcomes, reviewer_agreement, prisma_flow, co_citation_pairs, mark_in_library, cited_by_topn, quote_similarity, quote_contains, quote_close_matches, draft_works, draft_quotes)}
 
 _KEY = r"nullif(trim(regexp_replace(regexp_replace(lower(strip_accents({})), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')), '')"
+_ALIKE = ["''"] * len(tx.SINGLE) + ['"'] * len(tx.DOUBLE) + ["-"] * len(tx.DASHES)
+_QUOTE = rf"trim(regexp_replace(translate(lower(coalesce(text, '')), '{tx.SINGLE + tx.DOUBLE + tx.DASHES}', '{''.join(_ALIKE)}'), '[\s\x{{00a0}}]+', ' ', 'g'))"
 _DOCS = f"(SELECT doc_id, sha256({_KEY.format('text')}) AS k FROM documents)"
 _TA = """r AS (SELECT doc_id AS key, quality, toxic FROM labels WHERE doc_id IS NOT NULL),
     ta AS (SELECT key, CASE WHEN key % 7 = 0 THEN 'maybe' WHEN quality <> 1 - toxic THEN 'conflict' WHEN quality = 1 THEN 'include' ELSE 'exclude' END AS o FROM r),
@@ -141,6 +180,12 @@ ORACLE = {
         SELECT p_partkey AS id, l.k AS library_key, l.k IS NOT NULL AS in_library FROM part LEFT JOIN l ON lower(p_name) = d""",
     "cited_by_topn": """SELECT p_partkey AS id, p_name AS title, count(DISTINCT l_orderkey) AS citations FROM lineitem JOIN part ON p_partkey = l_partkey
         GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 25""",
-    "quote_similarity": f"""WITH b AS (SELECT item_id, substr(regexp_replace({_KEY.format('text')}, '[^ -~]', '', 'g'), 1, 200) AS t FROM benchmark)
+    "quote_similarity": f"""WITH b AS (SELECT item_id, regexp_replace({_KEY.format('text')}, '[^ -~]', '?', 'g') AS t FROM benchmark)
         SELECT b.item_id, round(1 - levenshtein(b.t, c.t)::DOUBLE / greatest(length(b.t), length(c.t)), 6) AS similarity FROM b JOIN b c ON c.item_id = b.item_id + 1""",
+    "quote_contains": f"""WITH q AS (SELECT item_id AS quote, {_QUOTE} AS t FROM benchmark), d AS (SELECT doc_id AS doc, {_QUOTE} AS t FROM documents)
+        SELECT quote, doc FROM q, d WHERE length(q.t) >= 12 AND (contains(d.t, q.t) OR contains(replace(d.t, ' ', ''), replace(q.t, ' ', '')))""",
+    "draft_works": """WITH p AS (SELECT p_partkey AS doc, p_size AS s FROM part), w AS (
+            SELECT doc, 0 AS nth, s % 2 = 0 AS hit, 'citation_key' AS way, 'S' || s AS k FROM p UNION ALL SELECT doc, 1, doc % 5 = 0, 'doi', 'P' || doc FROM p UNION ALL SELECT doc, 2, s % 3 = 0, 'author_year', 'S' || s FROM p)
+        SELECT doc, nth, CASE WHEN hit THEN 'matched' ELSE 'not_in_library' END AS status, CASE WHEN hit THEN way END AS matched_by, CASE WHEN hit THEN k END AS key FROM w""",
+    "draft_quotes": "SELECT p_partkey AS doc, 1 AS q, 2 AS nth, 1.0::DOUBLE AS gap FROM part",
 }

@@ -38,10 +38,10 @@ def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven days before the last event, 2,000 rows at most."""
+    """The days and rows that are retained, counted back from the last event."""
     e = _events(spark, sf_dir)
     now = F.lit(e.agg(F.max("ts")).first()[0])
-    return usage.retained(e, now, days=7, most=2000).select("event_id", "ts", "name")
+    return usage.retained(e, now).select("event_id", "ts", "name")
 
 
 def usage_shape_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,8 @@ ORACLE = {
     "latency_histogram": """WITH b(le) AS (VALUES (5), (25), (100), (500), (2000), (10000), (NULL)),
         t AS (SELECT event_type AS name, round(sum(value), 4) AS ms_sum FROM events GROUP BY 1)
         SELECT t.name, t.ms_sum, coalesce(b.le::VARCHAR, '+Inf') AS le, (SELECT count(*) FROM events e WHERE e.event_type = t.name AND (b.le IS NULL OR e.value <= b.le)) AS n FROM t, b""",
-    "usage_retention": """WITH r AS (SELECT event_id, ts, event_type AS name FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY)
-        SELECT * FROM r ORDER BY event_id DESC LIMIT 2000""",
+    "usage_retention": """WITH r AS (SELECT event_id, ts, event_type AS name FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY)
+        SELECT * FROM r ORDER BY event_id DESC LIMIT 500000""",
     "usage_shape_json": """SELECT event_type AS name, count(k) AS n, sum(k)::BIGINT AS k_sum, max(k) AS k_max
         FROM (SELECT event_type, (props::JSON ->> '$.k')::INTEGER AS k FROM events) GROUP BY 1""",
     "usage_pseudonyms": """SELECT ('0x' || substr(sha256('salt:' || user_id), 1, 12))::BIGINT AS who, count(*) AS calls FROM events GROUP BY 1""",
