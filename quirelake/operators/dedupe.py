@@ -79,6 +79,28 @@ def groups(found: DataFrame, items: DataFrame) -> DataFrame:
     return roots.join(facts, "root").select("root", F.col("id").alias("key"), "size", F.element_at(F.array(*map(F.lit, TIERS)), F.col("t").cast("int")).alias("basis"), "master")
 
 
+def by_size(grouped: DataFrame, items: DataFrame) -> DataFrame:
+    """(root, size, basis, master, title): groups, the largest first, then by the first title in them."""
+    titles = grouped.join(items.select("key", "title"), "key").groupBy("root", "size", "basis", "master").agg(F.min("title").alias("title"))
+    return titles.orderBy(F.desc("size"), "title")
+
+
+def moves(grouped: DataFrame, children: DataFrame) -> DataFrame:
+    """(master, key): children of duplicates, which go to the group's master. grouped: master, key; children: key, parentItem."""
+    own = grouped.filter("key <> master").select("master", F.col("key").alias("parentItem"))
+    return children.join(own, "parentItem").select("master", "key")
+
+
+def additions(united: Column, held: Column) -> Column:
+    """What a merge adds to the master's list."""
+    return F.array_except(united, F.coalesce(held, F.array().cast("array<string>")))
+
+
+def is_empty(c: Column, is_list: bool = False) -> Column:
+    """Whether a field counts as empty: null, blank, or an empty list."""
+    return c.isNull() | (F.size(c) == 0 if is_list else F.trim(c.cast("string")) == "")
+
+
 def merge_plan(grouped: DataFrame, items: DataFrame, fields: list[str], sets: list[str]) -> DataFrame:
     """One row a group: the master's fields, each empty one from the first duplicate (by position) that has it, and
     the sets (tags, collections) as the master's with the duplicates' added. grouped: master, key, position."""

@@ -39,8 +39,83 @@ def cited_by(edges: DataFrame, works: DataFrame, n: int) -> DataFrame:
     return works.join(counts, "id").orderBy(F.desc("citations"), "id").limit(n)
 
 
-def related_key(uri: Column) -> Column:
-    return F.nullif(F.regexp_extract(uri, "/items/([A-Z0-9]{8})$", 1), F.lit(""))
+def suggestions(items: DataFrame, works: DataFrame) -> DataFrame:
+    """Citation pairs among the items of a scope that aren't related yet, mutual ones first."""
+    return citation_pairs(items, works).filter(~F.col("already_related")).orderBy(F.desc("mutual"), "a", "b")
+
+
+def references_of(edges: DataFrame, work, n: int = 50) -> DataFrame:
+    """The first n works that a work cites, with the number of all. edges: citing, cited, ord."""
+    own = edges.filter(F.col("citing") == work)
+    total = own.agg(F.count("*").alias("total"))
+    return own.orderBy("ord", "cited").limit(n).select("cited").join(F.broadcast(total))  # one row
+
+
+def relations(values: Column) -> Column:
+    """A map of relations whose values are a string or a JSON list, all as lists without repeats."""
+    return F.transform_values(values, lambda k, v: F.array_distinct(F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))))
+
+
+def written_relations(lists: Column) -> Column:
+    """The other way: a list of one as a plain string, others as JSON."""
+    return F.transform_values(lists, lambda k, v: F.when(F.size(v) == 1, v[0]).otherwise(F.to_json(v)))
+
+
+def united_relations(a: Column, b: Column) -> Column:
+    """Both maps of lists in one, each list without repeats, a's first."""
+    none = F.array().cast("array<string>")
+    return F.map_zip_with(a, b, lambda k, x, y: F.array_union(F.coalesce(x, none), F.coalesce(y, none)))
+
+
+def position(c: Column) -> Column:
+    """An annotation's position: its JSON object as a map, else the text under "raw"."""
+    return F.when(c.rlike(r"^\s*\{"), F.coalesce(F.from_json(c, "map<string,string>"), F.create_map(F.lit("raw"), c))).otherwise(F.create_map(F.lit("raw"), c))
+
+
+def joined_issns(linking: Column, others: Column) -> Column:
+    """The linking ISSN and the others in one string, each once."""
+    filled = F.filter(F.concat(F.array(linking), F.coalesce(others, F.array().cast("array<string>"))), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
+    return F.nullif(F.array_join(F.array_distinct(filled), ", "), F.lit(""))
+
+
+def page_range(first: Column, last: Column) -> Column:
+    a, b = (F.nullif(F.trim(c), F.lit("")) for c in (first, last))
+    return F.when(a.isNotNull() & b.isNotNull() & (a != b), F.concat(a, F.lit("-"), b)).otherwise(F.coalesce(a, b))
+
+
+def parsed_range(c: Column) -> Column:
+    """struct(first, last) of "a-b" or "a"; null for anything else or a range that goes back."""
+    first, last = F.regexp_extract(c, r"^\s*([0-9]+)", 1).try_cast("int"), F.regexp_extract(c, r"[-–]\s*([0-9]+)\s*$", 1).try_cast("int")
+    return F.when(c.rlike(r"^\s*[0-9]+\s*([-–]\s*[0-9]+\s*)?$") & (F.coalesce(last, first) >= first), F.struct(first.alias("first"), F.coalesce(last, first).alias("last")))
+
+
+def queryable_doi(c: Column) -> Column:
+    """Whether a DOI can stand in a query string as it is."""
+    return F.coalesce((c != "") & ~c.rlike(r"[,|#%\s\x00-\x1f\x7f]"), F.lit(False))
+
+
+def flat_works(works: DataFrame) -> DataFrame:
+    """One flat row a work: at most ten authors, the venue, the bare id and DOI. works: the nested rows of a work index."""
+    names = F.filter(F.transform("authorships", lambda a: a["author"]["display_name"]), lambda n: n.isNotNull())
+    return works.select(
+        F.regexp_extract("id", "([^/]+)$", 1).alias("id"), F.coalesce("display_name", "title").alias("title"), F.lower(F.regexp_replace("doi", r"(?i)^https?://(dx\.)?doi\.org/", "")).alias("doi"),
+        F.col("publication_year").alias("year"), F.slice(names, 1, 10).alias("authors"), F.col("cited_by_count").alias("citations"), F.col("primary_location.source.display_name").alias("venue"),
+        "type", "is_retracted", page_range(F.col("biblio.first_page"), F.col("biblio.last_page")).alias("pages"), joined_issns(F.col("primary_location.source.issn_l"), F.col("primary_location.source.issn")).alias("issns"), best_pdf(F.col("locations")).alias("pdf"),
+    )
+
+
+def notice_rows(works: DataFrame) -> DataFrame:
+    """(doc_doi, direction, type, doi, date): every update notice of works(doi, updated_by, update_to), each an array of
+    struct(type, DOI, date-parts); one with neither a type nor a DOI says nothing and goes."""
+    sides = [works.select(F.lower("doi").alias("doc_doi"), F.lit(side).alias("direction"), F.explode(side).alias("n")) for side in ("updated_by", "update_to")]
+    both = sides[0].union(sides[1])
+    return both.filter("n.type is not null or n.DOI is not null").select("doc_doi", "direction", F.coalesce("n.type", F.lit("unspecified")).alias("type"), F.lower("n.DOI").alias("doi"), iso_date(F.col("n.parts")).alias("date"))
+
+
+def coverage(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row: how many of the asked DOIs each provider knew, and how many findings and disagreements there are."""
+    n = asked.select("doi").distinct().agg(F.count("*").alias("asked"))
+    return found.agg(F.count_if("by_flags").alias("by_flags"), F.count_if("by_notices").alias("by_notices"), F.count("*").alias("findings"), F.count_if("disagree").alias("disagree")).join(F.broadcast(n))  # one row
 
 
 def notice_sweep(dois: DataFrame, flags: DataFrame, notices: DataFrame) -> DataFrame:

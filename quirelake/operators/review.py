@@ -127,6 +127,36 @@ def prisma(records: DataFrame, result: DataFrame, identified: int | None = None,
     )
 
 
+def reason_lines(reason_counts: DataFrame) -> Column:
+    """Aggregate over reasons(reason, n): "reason (n = 3)" lines, the most frequent first."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "reason", "n")))
+    return F.transform(rows, lambda r: F.concat(F.replace(r["reason"], F.lit("-"), F.lit(" ")), F.lit(" (n = "), r["n"].cast("string"), F.lit(")")))
+
+
+#: What the flow's numbers are called, in order.
+FLOW = {
+    "records_identified": "Records identified", "duplicates_removed": "Duplicate records removed", "records_screened": "Records screened (title and abstract)", "records_excluded": "Records excluded",
+    "reports_sought": "Reports sought for retrieval", "reports_assessed": "Reports assessed for eligibility (full text)", "reports_excluded": "Reports excluded", "studies_included": "Studies included in review",
+}
+OPEN = {"records_awaiting": "record(s) still await title and abstract screening", "reports_awaiting": "report(s) still await full-text assessment", "duplicates_still": "duplicate record(s) are still in the collection"}
+
+
+def flow_text(flow: DataFrame, reason_counts: DataFrame) -> DataFrame:
+    """(text, diagram): the flow as lines, and as a Mermaid flowchart. reason_counts: stage, reason, n."""
+    lines = reason_counts.filter(F.col("stage") == STAGES[1]).agg(reason_lines(reason_counts).alias("why"))
+    f = flow.join(F.broadcast(lines))  # one row each
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    told = [F.concat(F.lit(f"{name}: n = "), number(c)) for c, name in FLOW.items()]
+    told.insert(7, F.nullif(F.array_join(F.transform("why", lambda x: F.concat(F.lit("  "), x)), "\n"), F.lit("")))
+    still = F.concat_ws("; ", *[F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {what}"))) for c, what in OPEN.items()])
+    text = F.concat_ws("\n", *told, F.when(still != "", F.concat(F.lit("Not final: "), still, F.lit("."))))
+    box = lambda node, c, more=F.lit(""): F.concat(F.lit(f'{node}["{FLOW[c].split(" (")[0]} (n = '), number(c), F.lit(")"), more, F.lit('"]'))
+    reasons = F.when(F.size("why") > 0, F.concat(F.lit("<br/>"), F.replace(F.array_join("why", "<br/>"), F.lit('"'), F.lit("'")))).otherwise("")
+    edges = [("id1", "records_identified", "id2", "duplicates_removed"), ("id1", None, "s1", "records_screened"), ("s1", None, "x1", "records_excluded"), ("s1", None, "r1", "reports_sought"), ("r1", None, "a1", "reports_assessed"), ("a1", None, "x2", "reports_excluded"), ("a1", None, "i1", "studies_included")]
+    drawn = [F.concat(F.lit("  "), box(a, first) if first else F.lit(a), F.lit(" --> "), box(b, c, reasons if b == "x2" else F.lit(""))) for a, first, b, c in edges]
+    return f.select(text.alias("text"), F.concat_ws("\n", F.lit("flowchart TD"), *drawn).alias("diagram"))
+
+
 def rescreened(tags: Column, stage: str, reviewer: str | None, new: str) -> Column:
     """The tags with those of this stage and reviewer replaced by the new one."""
     same = lambda t: (parsed(t)["stage"] == stage) & parsed(t)["reviewer"].eqNullSafe(F.lit(reviewer))

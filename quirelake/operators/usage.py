@@ -51,9 +51,29 @@ def histogram(events: DataFrame, buckets: list[int] = BUCKETS) -> DataFrame:
 
 
 def exposition(hist: DataFrame, metric: str = "tool_ms") -> DataFrame:
-    """The histogram as lines of the text exposition format."""
+    """The histogram as lines of the text exposition format: buckets, sum and count of every name."""
     le = F.coalesce(F.col("le").cast("string"), F.lit("+Inf"))
-    return hist.select(F.format_string(metric + '_bucket{name="%s",le="%s"} %d', "name", le, "n").alias("line"))
+    buckets = hist.select(F.format_string(metric + '_bucket{name="%s",le="%s"} %d', "name", le, "n").alias("line"))
+    ends = hist.filter("le is null").select(F.explode(F.array(F.format_string(metric + '_sum{name="%s"} %.4f', "name", "ms_sum"), F.format_string(metric + '_count{name="%s"} %d', "name", "n"))).alias("line"))
+    return buckets.union(ends)
+
+
+def refreshed(held: DataFrame, events: DataFrame, now: Column) -> DataFrame:
+    """Daily rows up to date: those before yesterday as they are held, the others made anew from the events."""
+    since = F.date_sub(F.to_date(now), 1)
+    return held.filter(F.col("day") < since).unionByName(daily(events.filter(F.col("ts") >= since.cast("timestamp"))))
+
+
+def shape(args: Column) -> Column:
+    """What a call's arguments were like, never what they were: a map of JSON values as a map of kinds and sizes."""
+    def kind(v: Column) -> Column:
+        sized = lambda name, n: F.concat(F.lit(f"{name}("), n.cast("string"), F.lit(")"))
+        return (
+            F.when(v.isin("true", "false"), v).when(v.rlike(r"^-?[0-9][0-9.eE+-]*$"), "number").when(v.startswith("["), sized("array", F.size(F.from_json(v, "array<string>"))))
+            .when(v.startswith("{"), sized("object", F.size(F.from_json(v, "map<string,string>")))).otherwise(sized("string", F.length(v)))
+        )
+
+    return F.transform_values(F.map_filter(args, lambda k, v: v.isNotNull()), lambda k, v: kind(v))
 
 
 def retained(events: DataFrame, now: Column, days: int = RETAIN_DAYS, most: int = RETAIN_ROWS) -> DataFrame:
@@ -77,11 +97,13 @@ def retained(events: DataFrame, now: Column, days: int = RETAIN_DAYS, most: int
     return recent if total <= most else recent.filter(F.col("event_id") >= low)
 
 
-def error_class(message: Column) -> Column:
-    """A coarse kind for an error message."""
-    m = F.lower(F.coalesce(message, F.lit("")))
-    rules = [("timeout", "timeout|timed out|deadline"), ("auth", "401|403|unauthor|forbidden"), ("not_found", "404|not found"), ("rate_limit", "429|rate limit"), ("invalid", "invalid|validation|schema"), ("network", "network|econn|socket|fetch failed")]
-    return F.coalesce(*[F.when(m.rlike(p), F.lit(k)) for k, p in rules], F.when(m != "", F.lit("other")))
+def error_class(status: Column, name: Column, code: Column) -> Column:
+    """A stable name of few values for why a call failed: by HTTP status, else by the error's name or code."""
+    c = F.lower(code)
+    return (
+        F.when(status.isNotNull(), F.concat(F.lit("http_"), F.floor(status / 100).cast("string"), F.lit("xx"))).when(name == "ValidationError", "validation")
+        .when(c.startswith("err_sqlite"), "storage").when(c.rlike("abort|timeout|etimedout"), "timeout").when(c.isNotNull(), c).when(name.isNotNull() & (name != "Error"), name).otherwise("error")
+    )
 
 
 def pseudonym(user: Column, salt: str) -> Column:
