@@ -4,6 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def test_vector(text: Column, width: int) -> Column:
+    """A vector that depends on the text alone, for tests without a model."""
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: (F.pmod(F.xxhash64(text, k), F.lit(2001)) / 1000 - 1).cast("float"))
 
 
 def matrix(col: pa.Array, width: int) -> np.ndarray:

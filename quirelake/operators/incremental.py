@@ -69,6 +69,20 @@ def reused_vectors(passages: DataFrame, old: DataFrame, vectors: DataFrame) -> D
     return same.select("id").join(vectors, "id")
 
 
+def full_text_targets(objects: DataFrame, indexed: DataFrame, refreshed: DataFrame, since: int) -> DataFrame:
+    """Indexed keys whose text is newer than its own cursor and that the delta hasn't refreshed already."""
+    new = objects.filter(F.col("textVersion") > since).select("key")
+    return new.join(indexed.select("key"), "key", "left_semi").join(refreshed.select("key"), "key", "left_anti")
+
+
+def resume_at(saved: dict | None, now: dict, rows: int) -> int | None:
+    """Where a build goes on: the saved offset if backend, total and version are as they were, else 0; null if the
+    checkpoint can't be used, as the index is empty or was made by another embedder."""
+    if not saved or not rows or saved.get("embedder") != now.get("embedder"):
+        return None
+    return saved.get("offset", 0) if all(saved.get(k) == now.get(k) for k in ("backend", "total", "version")) else 0
+
+
 def drifted(was: int, now: int) -> bool:
     return abs(now - was) > DRIFT * max(was, 1)
 

@@ -164,6 +164,25 @@ def annotation_digest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(w)).join(counts, "attachment")
 
 
+def escaped(c: Column) -> Column:
+    """Text as HTML."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(plain), F.lit(entity))
+    return c
+
+
+def digest_html(rows: DataFrame) -> DataFrame:
+    """(attachment, html): a note for each attachment: its title, and its annotations' text, comment and page in reading order.
+
+    rows: attachment, title, sortIndex, key, text, comment, page. An attachment's annotations are one note, so they fit in a row.
+    """
+    page = F.when(F.coalesce("page", F.lit("")) != "", F.concat(F.lit(" (p. "), escaped(F.col("page")), F.lit(")"))).otherwise("")
+    said = F.when(F.coalesce("text", F.lit("")) != "", F.concat(F.lit("<blockquote><p>"), escaped(F.col("text")), page, F.lit("</p></blockquote>"))).otherwise("")
+    own = F.when(F.coalesce("comment", F.lit("")) != "", F.concat(F.lit("<p>"), escaped(F.col("comment")), F.lit("</p>"))).otherwise("")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("sortIndex", "key", F.concat(said, own).alias("h")))), lambda x: x["h"])
+    return rows.groupBy("attachment").agg(F.concat(F.lit("<h1>"), escaped(F.min("title")), F.lit("</h1>"), F.array_join(parts, "")).alias("html"))
+
+
 def queue_order(items: DataFrame) -> DataFrame:
     """By title without regard to case or accents, then key."""
     return items.orderBy(F.expr("title COLLATE UNICODE_CI_AI"), "key")

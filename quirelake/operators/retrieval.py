@@ -395,6 +395,15 @@ def hybrid(index: Index, passages: DataFrame, query: str, query_vector: list[flo
             lists[-1] = nearest(index.read("vectors"), asked, most, digits or 6).select("id", "score")
 
 
+def find(index: Index, items: DataFrame, query: str, n: int = 10, digits: int | None = None) -> DataFrame:
+    """(id, score, way): the index's best hits; where it has none, items(id, title) whose title holds the query, by title."""
+    hits = top(bm25(index, query), n, digits=digits)
+    if not hits.isEmpty():
+        return hits.select("id", "score", F.lit("index").alias("way"))
+    named = items.filter(F.lower("title").contains(query.lower())).orderBy("title", "id").limit(n)
+    return named.select("id", F.lit(None).cast("double").alias("score"), F.lit("title").alias("way"))
+
+
 def merge_by_rank(hits: DataFrame, k: int) -> DataFrame:
     """hits(library, id, score): the libraries' lists interleaved by rank, with each library's number of hits."""
     w = Window.partitionBy("library").orderBy(F.desc("score"), "id")

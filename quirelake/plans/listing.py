@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import extraction, identifiers, incremental, items, library, review
+from ..operators import extraction, identifiers, incremental, items, library, retrieval, review
 from ..session import table
 from ..sources import bibliography, bibtex
+from .retrieval import _scores, document_index
 
 #: Lines of an order by number: the fixed kinds of its children.
 KINDS = ["attachment", "note", "annotation", "note", "annotation", "attachment", "note"]
@@ -122,6 +123,34 @@ def annotation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.annotation_digest(library.annotations(rows, ["highlight"], ["Yellow", "#2EA8E5"], ["a", "R"])).select("attachment", "key", "nth", "annotations")
 
 
+def annotation_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as the annotations of one attachment, as an HTML note."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    rows = lines.select(F.col("l_orderkey").alias("attachment"), F.lit("A & B").alias("title"), F.col("part").alias("sortIndex"), F.col("l_linenumber").alias("key"), F.concat(F.lit("<"), F.col("part").cast("string")).alias("text"), F.when(F.col("part") % 2 == 0, "c").alias("comment"), F.col("l_linenumber").cast("string").alias("page"))
+    return library.digest_html(rows)
+
+
+def item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that parts are found by, in the order of a reading queue."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("title"), "p_brand", "p_type", "p_size")
+    queue = library.queue_order(p).limit(100)
+    return queue.select("key", library.item_text({"title": F.col("title"), "abstractNote": F.lit(""), "surnames": F.col("p_brand"), "tags": F.col("p_type"), "date": F.when(F.col("p_size") > 25, F.col("p_size").cast("string"))}).alias("text"))
+
+
+def generic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search that the index answers, and one for a part of a name that only titles have."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("Document N-"), F.col("doc_id").cast("string")).alias("title"))
+    index = document_index(spark, sf_dir)
+    both = retrieval.find(index, docs, "heron eaux", digits=6), retrieval.find(index, docs, "t N-1")
+    return both[0].union(both[1]).withColumn("score", F.round("score", 6))
+
+
+def text_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments whose text is newer than a day, that are indexed, and that no delta has taken already."""
+    c = _children(spark, sf_dir).filter("itemType = 'attachment'").withColumn("textVersion", F.col("version"))
+    return incremental.full_text_targets(c, c.filter("not deleted"), c.filter("key % 2 = 0"), 10_500)
+
+
 def schema_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as items whose type and size are fields: brands 1 to 9 know only the type, and no part's maker may be a translator."""
     p = table(spark, sf_dir, "part")
@@ -313,7 +342,7 @@ def vector_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("id", F.lit("kept").alias("state")).unionByName(incremental.without_vector(d, kept).select("id", F.lit("waits").alias("state")))
 
 
-QUERIES = {f.__name__: f for f in (item_listing, item_children, collection_crawl, census_capped, scope_gather, collection_page, trash_matches, own_words, full_text_source, child_versions, item_projection, annotation_filter, schema_validation, top_of_children, document_fetch, extraction_newest, extraction_columns, extraction_missing, extraction_table, extraction_quotes, extraction_merge, identifiers_in_text, ris_records, bibtex_records, csl_records, review_queue, reviewer_matrix, review_disagreements, exclusion_reasons, evidence_coverage, sync_feed, index_upsert, stale_own_words, vector_reuse)}
+QUERIES = {f.__name__: f for f in (item_listing, item_children, collection_crawl, census_capped, scope_gather, collection_page, trash_matches, own_words, full_text_source, child_versions, item_projection, annotation_filter, annotation_digest, item_texts, generic_search, text_catch_up, schema_validation, top_of_children, document_fetch, extraction_newest, extraction_columns, extraction_missing, extraction_table, extraction_quotes, extraction_merge, identifiers_in_text, ris_records, bibtex_records, csl_records, review_queue, reviewer_matrix, review_disagreements, exclusion_reasons, evidence_coverage, sync_feed, index_upsert, stale_own_words, vector_reuse)}
 
 _KIND = f"{KINDS!r}[l_linenumber]"
 _O = "o AS (SELECT *, o_orderdate::DATE - DATE '1970-01-01' AS version, CASE WHEN o_orderpriority = '5-LOW' THEN 'note' ELSE 'book' END AS kind FROM orders)"
@@ -345,6 +374,12 @@ ORACLE = {
         s_name || CASE WHEN s_suppkey % 2 = 0 THEN ', Ann' ELSE '' END || '; Org' AS authors, (s_nationkey + 1990)::VARCHAR AS year, 2 AS n_tags FROM supplier""",
     "annotation_filter": f"""WITH {_L}, f AS (SELECT l_orderkey AS attachment, l_linenumber AS key, part FROM ln WHERE part % 3 <> 1 AND flag IN ('A', 'R'))
         SELECT attachment, key, row_number() OVER (PARTITION BY attachment ORDER BY part, key) AS nth, count(*) OVER (PARTITION BY attachment) AS annotations FROM f""",
+    "annotation_digest": """WITH a AS (SELECT l_orderkey AS attachment, l_linenumber AS n, min(l_partkey) AS part FROM lineitem GROUP BY ALL)
+        SELECT attachment, '<h1>A &amp; B</h1>' || string_agg('<blockquote><p>&lt;' || part || ' (p. ' || n || ')</p></blockquote>' || CASE WHEN part % 2 = 0 THEN '<p>c</p>' ELSE '' END, '' ORDER BY part, n) AS html FROM a GROUP BY 1""",
+    "item_texts": "SELECT p_partkey AS key, p_name || '. ' || p_brand || '. ' || p_type || CASE WHEN p_size > 25 THEN '. ' || p_size ELSE '' END AS text FROM part ORDER BY p_name, p_partkey LIMIT 100",
+    "generic_search": f"""WITH {_scores("heron eaux")} SELECT * FROM (SELECT id, round(score, 6) AS score, 'index' AS way FROM bm25 WHERE score > 0 ORDER BY score DESC, id LIMIT 10)
+        UNION ALL SELECT * FROM (SELECT doc_id, NULL, 'title' FROM documents WHERE starts_with(doc_id::VARCHAR, '1') ORDER BY 'Document N-' || doc_id, doc_id LIMIT 10)""",
+    "text_catch_up": f"WITH {_L} SELECT key FROM ch WHERE kind = 'attachment' AND version > 10500 AND flag <> 'A' AND key % 2 <> 0",
     "schema_validation": """SELECT p_partkey AS key, 'unknown field' AS problem, 'size' AS name FROM part WHERE length(p_brand) = 7
         UNION ALL SELECT p_partkey, 'unknown creator type', 'translator' FROM part WHERE p_size % 7 = 0""",
     "top_of_children": f"WITH {_L} SELECT item AS top, count(*) AS children FROM ch GROUP BY item",

@@ -16,3 +16,13 @@ def test_daily_rollup(spark, sf_dir, tmp_path):
         out = spark.read.parquet(paths[1])
         want = usage.daily(events).select(out.columns)
         assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
+
+
+def test_retention(spark, sf_dir, tmp_path):
+    events = usage.from_event_table(table(spark, sf_dir, "events")).drop("shape")
+    source = str(tmp_path / "source")
+    events.orderBy("ts").coalesce(1).write.parquet(source)
+    paths = [str(tmp_path / x) for x in ("raw", "daily", "checkpoint")]
+    daily_rollup(spark.readStream.schema(events.schema).parquet(source), *paths, days=3).awaitTermination()
+    days = sorted(r["day"] for r in spark.read.parquet(paths[0]).select("day").distinct().collect())
+    assert len(days) == 4 and spark.read.parquet(paths[1]).select("day").distinct().count() == 4
