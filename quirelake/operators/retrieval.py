@@ -71,8 +71,10 @@ def _write_postings(post: DataFrame, path: str) -> None:
 def build(passages: DataFrame, path: str, vectors: DataFrame | None = None) -> Index:
     """Index passages and vectors under a path that must not exist."""
     spark = passages.sparkSession
-    passages.select("id", F.size(tokens(F.col("text"))).alias("length")).write.parquet(f"{path}/lengths")
     _write_postings(postings(passages), path)
+    #: The texts are split into words once; passages without any come from the ids alone.
+    own = Index(spark, path).read("postings").groupBy("id").agg(F.first("length").alias("length"))
+    passages.select("id").join(own, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length")).write.parquet(f"{path}/lengths")
     _write_terms(spark, path)
     if vectors is not None:
         _write_vectors(vectors, path)
