@@ -9,14 +9,13 @@
 3. Confirmed links are joined to components. Where a key still has members in different components,
    those outside its largest one are tested against all members of other components by a finer odd
    sketch, the parity bitmap of the whole set, whose xor counts the two sets' differences nearly exactly.
-   What is left, once for each pair, is confirmed as before; inside one component no pair is ever needed.
-   So no link between components is left out, without all pairs of a group of copies. Keys with over
+   A pair is tested in the first key it shares only (all 64 bits of the keys are compared), and what is left is
+   confirmed as before; inside one component no pair is ever needed. So no link between components is left out, without all pairs of a group of copies. Keys with over
    KEY_MEMBERS members are compared in blocks, dealt to tasks by block pair.
 
 Two sets with similarity 0.8 share no band with probability (1 - 0.8**ROWS)**BANDS = 2e-9, the first odd
 sketch rejects such a pair about 6 standard deviations off and the second DEVIATIONS off. Set members are
-64-bit hashes of word sequences, sets are told apart by 128 bits and their size; band keys have 64 bits, and
-a chance equality only adds a pair to be tested.
+64-bit hashes of word sequences, sets are told apart by 128 bits and their size, band keys by 64 bits.
 
 Words are what [^\\x20\\x09-\\x0D]+ matches after lower-casing A-Z. Cases: with fewer words than a
 shingle the whole sequence is one shingle; without words or with a null text the set is empty, the
@@ -49,7 +48,7 @@ HUB_MEMBERS = 2000
 #: Bits of the finer sketch, members of a key that are compared in one block, and how far off a pair is rejected.
 FINE_BITS, KEY_MEMBERS, DEVIATIONS = 4096, 2048, 5
 FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch array<long>, fine binary"
-OPEN = ["key", "u", "v", "block", "doc_id", "label", "hub", "n_shingles", "fine"]
+OPEN = ["key", "u", "v", "band", "block", "doc_id", "label", "hub", "n_shingles", "keys", "fine"]
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * U(2) + U(1)
 ROW_FACTORS = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) * U(2) + U(1)
@@ -87,12 +86,13 @@ def across(open_rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that the finer sketch leaves. open_rows: OPEN, all rows of a key's block pair."""
 
     def pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        doc, label, size, hub, block = (part.column(c).to_numpy() for c in ("doc_id", "label", "n_shingles", "hub", "block"))
+        doc, label, size, hub, band, block = (part.column(c).to_numpy() for c in ("doc_id", "label", "n_shingles", "hub", "band", "block"))
         kinds, at, n = np.unique(label, return_inverse=True, return_counts=True)
         rest = at != n.argmax()
         if len(kinds) < 2:
             return doc[:0], doc[:0]
         bits = np.frombuffer(b"".join(part.column("fine").to_pylist()), dtype=np.uint64).reshape(len(doc), -1)
+        keys = part.column("keys").combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
         apart = part.column("u")[0] != part.column("v")[0]
         a, b = [], []
         for i in np.flatnonzero(rest & (doc != hub)):
@@ -102,6 +102,8 @@ def across(open_rows: DataFrame, percent: int) -> DataFrame:
                 far &= block != block[i]
             other = np.flatnonzero(far)
             other = other[np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1) <= within_reach(size[other] + size[i], percent)]
+            #: Only in the first key that the two share.
+            other = other[~(keys[other, : band[i]] == keys[i, : band[i]]).any(axis=1)]
             a.append(np.minimum(doc[other], doc[i]))
             b.append(np.maximum(doc[other], doc[i]))
         return (np.concatenate(a), np.concatenate(b)) if a else (doc[:0], doc[:0])
@@ -127,7 +129,7 @@ def across(open_rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield flush()
 
-    return open_rows.select(OPEN).repartition("key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(run, "a long, b long").distinct()
+    return open_rows.select(OPEN).repartition("key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(run, "a long, b long")
 
 
 def features(docs: DataFrame, n: int) -> DataFrame:
@@ -218,7 +220,7 @@ def linked(rows: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Data
     sets = rows.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     sets = staged(sets, "sets")
     reps = staged(rows.join(sets.select(F.col("rep").alias("doc_id")), "doc_id").select("doc_id", "n_shingles", "sketch", "keys", "fine"), "reps")
-    bands = reps.select("doc_id", F.explode("keys").alias("key"))
+    bands = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))
     hubs = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("m")).filter("m > 1")
     met = staged(bands.join(hubs, "key"), "met")
 
@@ -238,15 +240,15 @@ def linked(rows: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Data
     found = confirmed(counted(tested(stars)), docs, shingle, percent)
     labels = components(found)
     #: Keys whose members are still in different components.
-    named = met.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "hub", "m", F.coalesce("label", "doc_id").alias("label"))
+    named = met.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "hub", "m", F.coalesce("label", "doc_id").alias("label"))
     split = named.filter("doc_id <> hub").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     blocks = F.ceil(F.col("m") / KEY_MEMBERS).cast("int")
     dealt = named.join(split, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     whole = dealt.filter("blocks = 1").withColumn("other", F.lit(0))
     parts = dealt.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = whole.unionByName(parts).select("key", "doc_id", "label", "hub", "block", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"))
-    fine = reps.select("doc_id", "n_shingles", "fine")
-    more = confirmed(counted(across(units.join(fine, "doc_id"), percent)), docs, shingle, percent)
+    units = whole.unionByName(parts).select("key", "band", "doc_id", "label", "hub", "block", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"))
+    own = reps.select("doc_id", "n_shingles", "keys", "fine")
+    more = confirmed(counted(across(units.join(own, "doc_id"), percent)), docs, shingle, percent)
     labels = components(found.union(more))
     out = rows.join(sets, ["d1", "d2", "n_shingles"], "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     own = F.coalesce("label", "rep", "doc_id")
