@@ -47,6 +47,8 @@ REACHES = [(i, STEPS - i) for i in range(STEPS + 1)]
 FLUSH = 400_000
 #: Bytes of input for a bucket of anchors, bytes of context for a shard, contexts of an anchor in a bucket.
 BUCKET_BYTES, SHARD_BYTES, HOT = 16 << 20, 2 << 20, 20_000
+#: Tasks that the buckets or shards of a shuffle are dealt to at most; a task takes its buckets one after another.
+TASKS = 20_000
 LAST = (1 << 63) - 1
 FULL, ANCHORS, NEED, NEED_HOT = 0, 1, 2, 3
 KEYED = "bucket int, kind int, doc_id long, sig long, payload binary"
@@ -229,7 +231,7 @@ def settle(keyed: DataFrame, n_buckets: int) -> DataFrame:
             for k in range(0, len(out), 20_000):
                 yield _batch(out[k : k + 20_000])
 
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, KEYED)
+    return keyed.repartition(min(n_buckets, TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(run, KEYED)
 
 
 PLACE = np.dtype([("h", "u8"), ("at", "i8"), ("left", "u1"), ("right", "u1")])
@@ -300,7 +302,7 @@ def repeated_windows(where: np.ndarray, texts: list[bytes]) -> np.ndarray:
     return np.stack([context[again], (sa - begin[context])[again]], axis=1)
 
 
-def sort_shards(keyed: DataFrame) -> DataFrame:
+def sort_shards(keyed: DataFrame, n_shards: int) -> DataFrame:
     """The stretches of contexts that the shard's suffix array shows to be repeated."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +319,7 @@ def sort_shards(keyed: DataFrame) -> DataFrame:
             own, lo = where[found[:, 0]], where["at"][found[:, 0]] + found[:, 1]
             yield _batch(list(_spans(own["doc"], own["sig"], lo, lo + LENGTH)))
 
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, KEYED)
+    return keyed.repartition(min(n_shards, TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(run, KEYED)
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -353,6 +355,6 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     same = (F.coalesce("doc_id", F.lit(LAST)) == F.col("_doc")) & (F.col("sig") == F.col("_sig"))
     #: A row that comes twice gives its contexts twice, which changes nothing.
     dealt = staged(contexts(rows.join(asked, same).select("doc_id", "sig", "text", "needs"), n_shards, n_buckets), "contexts")
-    spans = found.filter(F.col("kind") == FULL).union(sort_shards(dealt.filter(F.col("kind") == NEED))).union(settle(dealt.filter(F.col("kind") != NEED), n_buckets).filter(F.col("kind") == FULL))
+    spans = found.filter(F.col("kind") == FULL).union(sort_shards(dealt.filter(F.col("kind") == NEED), n_shards)).union(settle(dealt.filter(F.col("kind") != NEED), n_buckets).filter(F.col("kind") == FULL))
     spans = spans.groupBy(*text_key).agg(F.collect_list("payload").alias("spans"))
     return cut(rows.join(spans, same, "left").select("doc_id", "text", "spans"))
