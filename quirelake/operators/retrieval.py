@@ -23,6 +23,8 @@ HIGH_DF, PRUNE_FROM, MOST_VARIANTS = 0.3, 100, 24
 RRF_K, POOL_FACTOR, CODE_POOL, LEAST_POOL = 60, 3, 16, 500
 #: Queries that one scan answers, queries by which the pool is measured, and the share of neighbours it has to hold.
 QUERY_BLOCK, MEASURED, RECALL = 1024, 64, 0.97
+#: Counts changes of what an index holds; one kept under another number is not read.
+FORMAT = 2
 #: Folders that the postings are dealt to by term.
 PARTS = 64
 #: Candidates that are sought by their ids in the scan; more are joined.
@@ -108,7 +110,7 @@ def kept(name: str, source: DataFrame, make: Callable[[str], Index]) -> Index:
     spark = source.sparkSession
     files = source.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     state = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *files.columns))), "\n"), 256)).first()[0]
-    path = f"{shared_dir(spark)}/quirelake/index-{name}-{hashlib.sha256((state or '').encode()).hexdigest()[:16]}"
+    path = f"{shared_dir(spark)}/quirelake/index-{FORMAT}-{name}-{hashlib.sha256((state or '').encode()).hexdigest()[:16]}"
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ready")
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return Index(spark, path)
