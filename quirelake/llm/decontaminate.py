@@ -11,8 +11,9 @@ weighted-shingle similarity: the sum of smaller over the sum of larger shingle c
 At similarity 0.8 the expected distance is 10 bits of 64 with a deviation of 3, RADIUS is 4
 deviations above that.
 
-The items are broadcast: up to ITEM_BYTES of text at a time; a larger benchmark is taken in as many
-blocks over the same scan. Words are what [^\\x20\\x09-\\x0D]+ matches after lower-casing A-Z. Cases:
+The items are broadcast: up to ITEM_BYTES of text at a time. A larger benchmark is taken in as many
+blocks, each with a scan of its own that is staged before the next block is read, so neither the driver
+nor a task holds more than one. Words are what [^\\x20\\x09-\\x0D]+ matches after lower-casing A-Z. Cases:
 items and windows with fewer words than a shingle are one shingle as a whole; null or empty texts and
 items match nothing. Repeated rows each get their own; empty tables give no rows. Only doc_id, text
 and item_id are read, so other columns can't clash.
@@ -20,9 +21,10 @@ and item_id are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U, among, chunks, combine, joined, mix, prefix, word_hash, word_spans
+from .util import staged
 
 BLOCKS, RADIUS = 8, 22
-ITEM_BYTES = 32 << 20
+ITEM_BYTES = 16 << 20
 MATCHES = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 #: Bits of the screen of listed shingles.
 SCREEN_BITS = 22
@@ -158,44 +161,74 @@ class Items:
 
 def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the best window of each item in each text, where it reaches least."""
-    found = [docs.select("doc_id", "text").mapInArrow(_scanner(ids, texts, shingle, least), MATCHES) for ids, texts in _blocks(benchmark)]
+    found = []
+    for ids, texts, only in _blocks(benchmark):
+        part = docs.select("doc_id", "text").mapInArrow(_scanner(_maker(ids, texts, shingle), least), MATCHES)
+        found.append(part if only else staged(part, "matches"))
     return reduce(DataFrame.union, found)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[bytes]]]:
-    """The items in blocks of about ITEM_BYTES, one at least."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[bytes], bool]]:
+    """The items in blocks of about ITEM_BYTES, one at least, and whether there is one only. All texts of an item are in one block."""
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // ITEM_BYTES))
     for k in range(n_blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect() if n_blocks > 1 else items.collect()
-        yield [r["item_id"] for r in part], [r["text"].encode("utf-8") for r in part]
+        yield [r["item_id"] for r in part], [r["text"].encode("utf-8") for r in part], n_blocks == 1
 
 
-def _scanner(ids: list[int], texts: list[bytes], shingle: int, least: float):
+#: Of a Python worker, the index that it built last: the tasks of a scan share it.
+_held: dict[str, Items] = {}
+
+
+def _index(key: str, ids: list[int], texts: list[bytes], shingle: int) -> Items:
+    if key not in _held:
+        _held.clear()
+        _held[key] = Items(ids, texts, shingle)
+    return _held[key]
+
+
+def _maker(ids: list[int], texts: list[bytes], shingle: int) -> Callable[[], Items]:
+    """What gives the index of a block in a task."""
+    return partial(_index, uuid.uuid4().hex, ids, texts, shingle)
+
+
+def _scanner(make: Callable[[], Items], least: float):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(ids, texts, shingle) if ids else None
+        index = make()
         for part, raw in chunks(batches, "text"):
             own = part.column("doc_id").to_pylist()
-            rows = [(own[t], item, *match) for t, item, match in index.scan(raw, least)] if index else []
+            rows = [(own[t], item, *match) for t, item, match in index.scan(raw, least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
     return scan
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """docs without the rows whose text holds a benchmark item. All columns stay; each row is judged by its own text, whatever its doc_id."""
-    out = docs
-    for ids, texts in _blocks(benchmark):
-        out = out.mapInArrow(_keeper(ids, texts, shingle, least), docs.schema)
-    return out
-
-
-def _keeper(ids: list[int], texts: list[bytes], shingle: int, least: float):
+    """docs without the rows whose text holds a benchmark item. All columns stay; each row is judged by its own text, whatever its doc_id.
+
+    With several blocks the rows are numbered and staged, and the numbers of those that a block finds are dropped at the end.
+    """
+    row, found = "_row", []
+    while row in docs.columns:
+        row += "_"
+    rows = docs
+    for ids, texts, only in _blocks(benchmark):
+        make = _maker(ids, texts, shingle)
+        if only:
+            return docs.mapInArrow(_keeper(make, least), docs.schema)
+        if not found:
+            rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        found.append(staged(rows.select(F.col(row).alias("doc_id"), "text").mapInArrow(_scanner(make, least), MATCHES).select(F.col("doc_id").alias(row)).distinct(), "found"))
+    return rows.join(reduce(DataFrame.union, found), row, "left_anti").drop(row)
+
+
+def _keeper(make: Callable[[], Items], least: float):
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(ids, texts, shingle) if ids else None
+        index = make()
         for part, raw in chunks(batches, "text"):
-            hit = {t for t, _, _ in index.scan(raw, least)} if index else set()
+            hit = {t for t, _, _ in index.scan(raw, least)}
             yield part.filter(pa.array([t not in hit for t in range(len(raw))], pa.bool_()))
 
     return keep

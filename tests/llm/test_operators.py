@@ -113,6 +113,18 @@ def test_decontaminate(spark, docs, rows):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_in_blocks(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 60)
+    items = [(k, rows[d][1]) for k, d in enumerate((10, 20, 9, 0))]
+    bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    named = docs.withColumn("_row", F.lit("x"))
+    want = brute.decontaminate(rows, items)
+    assert len(list(decontaminate._blocks(bench))) > 2
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(named, bench).collect()} == want
+    kept = decontaminate.decontaminate(named, bench)
+    assert kept.columns == named.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in rows if i not in {d for d, _ in want})
+
+
 @pytest.mark.parametrize(("n", "percent"), [(2, 80), (5, 80)])
 def test_near_dedup(spark, docs, rows, n, percent):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(docs, n, percent).collect()}
