@@ -32,11 +32,19 @@ def _side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select([F.col(c).alias(f"{prefix}_{c}") for c in CENSUS])
 
 
+def _slots(prefix: str, kind: str) -> Column:
+    """Where a row meets those of its title, when a year is missing: with a long title all of a kind, else those with a surname of its own."""
+    surnames = F.transform(f"{prefix}_surnames", lambda s: F.concat(F.lit(f"{kind} "), s))
+    return F.when(F.size(F.split(f"{prefix}_title_key", " ")) >= LEAST_WORDS, F.array(F.lit(kind))).otherwise(surnames)
+
+
 def matches(candidates: DataFrame, library: DataFrame) -> DataFrame:
     """(candidate, key, tier, value, caveat): of each candidate the matches of the first tier that has any.
 
-    Both are tables of census(); a row is never matched with its own key. Every tier is an equi-join on its
-    key with the other conditions as a residual. A DOI that differs rules ISBN and title matches out.
+    Both are tables of census(); a row is never matched with its own key. Every tier is an equi-join. Titles
+    meet by year, one before and after too; a candidate with a year also meets items without ("none"), one
+    without meets all ("all"), so a common title gives no pairs but those that match. A DOI that differs
+    rules ISBN and title matches out.
     """
     c, e = _side(candidates, "c"), _side(library, "e")
     other = F.coalesce(F.col("c_key") != F.col("e_key"), F.lit(True))
@@ -50,13 +58,16 @@ def matches(candidates: DataFrame, library: DataFrame) -> DataFrame:
     same = (F.col("c_itemType") == F.col("e_itemType")) & (F.col("c_title_key") == F.col("e_title_key"))
     both = ci.join(ei, F.col("isbn") == F.col("e_isbn")).filter(other & fits & (~F.coalesce(section, F.lit(False)) | F.coalesce(same, F.lit(False))))
     isbn = both.groupBy(*out).agg(F.min_by("isbn", "pos").alias("value")).select(*out, F.lit(1).alias("tier"), "value", no_caveat)
-    years = F.abs(F.col("c_year").cast("int") - F.col("e_year").cast("int"))
+    c_year, e_year = F.col("c_year").cast("int"), F.col("e_year").cast("int")
     shared = F.get(F.array_intersect("c_surnames", "e_surnames"), F.lit(0))
-    words = F.size(F.split("c_title_key", " "))
-    missing = F.when(F.col("c_year").isNull() & F.col("e_year").isNull(), "neither has a year").when(F.col("c_year").isNull(), "the candidate has no year").otherwise("the item has no year")
-    basis = F.when(shared.isNotNull(), F.concat(missing, F.lit("; shared surname "), shared)).when(words >= LEAST_WORDS, F.concat(missing, F.lit("; title alone")))
-    yearless = years.isNull()
-    title = c.join(e, F.col("c_title_key") == F.col("e_title_key")).filter(other & fits & F.when(yearless, basis.isNotNull()).otherwise(years <= 1))
+    missing = F.when(c_year.isNull() & e_year.isNull(), "neither has a year").when(c_year.isNull(), "the candidate has no year").otherwise("the item has no year")
+    basis = F.concat(missing, F.when(shared.isNotNull(), F.concat(F.lit("; shared surname "), shared)).otherwise("; title alone"))
+    yearless = c_year.isNull() | e_year.isNull()
+    ct = c.withColumn("slot", F.explode(F.when(c_year.isNull(), _slots("c", "all")).otherwise(F.concat(F.transform(F.array(c_year - 1, c_year, c_year + 1), lambda y: y.cast("string")), _slots("c", "none")))))
+    et = e.withColumn("e_slot", F.explode(F.concat(_slots("e", "all"), F.when(e_year.isNull(), _slots("e", "none")).otherwise(F.array(e_year.cast("string"))))))
+    #: Of a short title's pair with several shared surnames the first counts.
+    once = ~yearless | ~F.contains("slot", F.lit(" ")) | (F.col("slot") == F.concat(F.when(c_year.isNull(), "all ").otherwise("none "), shared))
+    title = ct.join(et, (F.col("c_title_key") == F.col("e_title_key")) & (F.col("slot") == F.col("e_slot"))).filter(other & fits & once)
     title = title.select(*out, F.lit(2).alias("tier"), F.col("c_title_key").alias("value"), F.when(yearless, basis).alias("caveat"))
     found = doi.unionByName(isbn).unionByName(title)
     first = F.min("tier").over(Window.partitionBy("c_key"))

@@ -1,11 +1,12 @@
 """Small rules that no query with SQL covers."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
 from quirelake.functions import chunks, vectors
-from quirelake.operators import components, extraction, graph, incremental, library, retrieval, review
+from quirelake.operators import components, dedupe, extraction, graph, incremental, library, retrieval, review
 
 
 def test_prisma(spark):
@@ -93,3 +94,34 @@ def test_snippet_column(spark):
 def test_dates_and_links(spark):
     row = spark.range(1).select(graph.iso_date(F.array(F.lit(2020), F.lit(3))).alias("d"), graph.page_range(F.lit("5"), F.lit("5")).alias("p")).first()
     assert (row["d"], row["p"]) == ("2020-03", "5") and datetime.date.fromisoformat(row["d"] + "-01")
+
+
+def test_title_matches_against_all_pairs(spark):
+    """Years within one, or a long title or a shared surname where a year is missing; surnames with blanks, several shared ones."""
+    r = random.Random(11)
+    names = ["berg", "van berg", "lee", "ng"]
+    items = [
+        (k, "book", r.choice(["on", "on rivers", "on the rivers of asia"]), r.choice([None, "10.1/a", "10.1/b"] if k % 3 == 0 else [None]), r.choice([None, "1999", "2000", "2001", "2003"]), r.sample(names, r.randrange(3)))
+        for k in range(90)
+    ]
+    schema = "key int, itemType string, title string, title_key string, doi string, isbns array<string>, year string, surnames array<string>"
+    rows = spark.createDataFrame([(k, i, t, t, d, [], y, n) for k, i, t, d, y, n in items], schema)
+    want = set()
+    for a in items:
+        tiers = {"doi": set(), "title": set()}
+        for b in items:
+            if a[0] == b[0]:
+                continue
+            if a[3] and a[3] == b[3]:
+                tiers["doi"].add((a[0], b[0], None))
+            elif a[2] == b[2] and not (a[3] and b[3]):
+                shared = next((n for n in a[5] if n in b[5]), None)
+                if a[4] and b[4]:
+                    if abs(int(a[4]) - int(b[4])) <= 1:
+                        tiers["title"].add((a[0], b[0], None))
+                elif shared or len(a[2].split()) >= 4:
+                    lacks = "neither has a year" if not a[4] and not b[4] else "the candidate has no year" if not a[4] else "the item has no year"
+                    tiers["title"].add((a[0], b[0], lacks + ("; shared surname " + shared if shared else "; title alone")))
+        want |= tiers["doi"] or tiers["title"]
+    got = [(r["candidate"], r["key"], r["caveat"]) for r in dedupe.matches(rows, rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
