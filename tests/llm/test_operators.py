@@ -114,8 +114,8 @@ def test_decontaminate(spark, docs, rows):
 
 
 def test_decontaminate_in_blocks(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 60)
     items = [(k, rows[d][1]) for k, d in enumerate((10, 20, 9, 0))]
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", sum(len((t or "").encode()) for _, t in items) // 2)
     bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
     named = docs.withColumn("_row", F.lit("x"))
     want = brute.decontaminate(rows, items)
