@@ -1,28 +1,62 @@
-"""Identifiers in running text: every DOI and arXiv id with its label and context, and the best occurrence of each."""
+"""Identifiers in running text: every DOI and arXiv id with its label and context, and the best occurrence of each.
+
+A text is split at blanks and brackets. Pieces that begin like an identifier, or hold one behind a link or a label, are read by
+identifier(); the label is the link's host, or the word that stands before the piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import identifier, squash
+from ..functions.text import identifier, let, squash
+
+#: Characters around an identifier that are shown as its context.
+CONTEXT = 60
+#: What introduces an identifier of each kind, as a link or as a word.
+LINKS = {"doi": ["doi.org/", "dx.doi.org/"], "arxiv": ["arxiv.org/abs/", "arxiv.org/pdf/"]}
+NAMES = {"doi": "doi", "arxiv": "arxiv"}
+#: What parts pieces, and what does not belong to the end of one.
+PARTS, LOOSE = r"[\s\"'<>(){}\[\]]+", ".,;:"
+
+
+def _pieces(text: Column) -> Column:
+    """array of (raw, at): the pieces of a text that can be identifiers, and where they begin."""
+    raw = F.split(text, PARTS)
+    candidate = lambda x: x.contains("/") | x.rlike("[0-9]{4}[.][0-9]{4}") | F.lower(x).contains(NAMES["arxiv"])
+    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<raw:string,at:int,before:string>>").alias("found"), F.lit("").alias("last"))
 
-#: Characters around an identifier that are shown as its context, and before it in which a label may stand.
-CONTEXT, LABEL = 60, 30
-DOI = r"10\.[0-9]{4,9}/[^\s\"'<>(){}\[\]]+"
-DOI_LABEL = r"(?i)(?:https?://(?:dx\.)?doi\.org/|\bdoi\s*:?\s*)$"
-ARXIV = r"(?i)(?:arxiv\s*:\s*|arxiv\.org/(?:abs|pdf)/)(?:[0-9]{4}\.[0-9]{4,5}|[a-z-]+(?:\.[a-z]{2})?/[0-9]{7})(?:v[0-9]+)?"
+    def step(a: Column, x: Column) -> Column:
+        at = F.call_function("locate", x, text, a["at"])
+        own = F.array(F.struct(x.alias("raw"), at.alias("at"), a["last"].alias("before")))
+        return F.struct((at + F.length(x)).alias("at"), F.when(candidate(x), F.concat(a["found"], own)).otherwise(a["found"]).alias("found"), x.alias("last"))
 
+    return F.aggregate(F.filter(raw, lambda x: x != ""), zero, step)["found"]
 
-def _found(text: Column, pattern: str) -> Column:
-    """array of (before, raw, after): each match with the text on both sides of it, up to its neighbours."""
-    raw, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    return F.transform(raw, lambda r, k: F.struct(F.get(between, k).alias("before"), r.alias("raw"), F.coalesce(F.get(between, k + 1), F.lit("")).alias("after"), k.alias("pos")))
 
+def _read(kind: str, p: Column) -> Column:
+    """struct(id, label, at, size) of a piece as this kind of identifier; null if it is none.
+
+    The label is a link's beginning, "name:" in the piece itself, or the word before it.
+    """
+    low, name = F.lower(p["raw"]), NAMES[kind]
+    lead = F.lit(0)
+    for link in sorted(LINKS[kind], key=len):
+        lead = F.when(F.instr(low, link) > 0, F.instr(low, link) + len(link) - 1).otherwise(lead)
+    lead = F.when(lead > 0, lead).when(low.startswith(f"{name}:"), len(name) + 1).otherwise(0)
+    if kind == "doi":  # other text may stand before the registrant
+        lead = F.when((lead == 0) & (F.instr(low, "10.") > 1) & ~F.substring(low, F.instr(low, "10.") - 1, F.lit(1)).rlike("[a-z0-9.]"), F.instr(low, "10.") - 1).otherwise(lead)
+    word = F.rtrim(F.lower(p["before"]), F.lit(":"))
+
+    def known(n: Column) -> Column:
+        value = F.rtrim(F.substr(p["raw"], n + 1), F.lit(LOOSE))
+        own = F.substr(p["raw"], F.lit(1), n)
+        label = F.when(n > 0, own).when(word == name, p["before"]).otherwise("")
+        sure = F.lower(own).endswith(f"{name}:") | F.exists(F.array(*map(F.lit, LINKS[kind])), lambda x: F.lower(own).endswith(x)) | ((n == 0) & (word == name))
+        return F.struct(identifier(value).alias("id"), F.when(sure, label).otherwise("").alias("label"), (p["at"] - 1 + n).alias("at"), F.length(value).alias("size"))
 
-def _context(x: str) -> Column:
-    before, after = F.col(f"{x}.before"), F.col(f"{x}.after")
-    return squash(F.concat(F.right(before, F.lit(CONTEXT)), F.col(f"{x}.raw"), F.left(after, F.lit(CONTEXT))))
+    fits = lambda x: (x["id"]["type"] == kind) & ((x["label"] != "") if kind == "arxiv" else F.lit(True))
+    return let(let(lead, known), lambda x: F.when(fits(x), x))
 
 
 def scan(texts: DataFrame) -> DataFrame:
@@ -30,14 +64,13 @@ def scan(texts: DataFrame) -> DataFrame:
 
     A DOI is sure (high) if a label introduces it, an arXiv id always has one. pos orders the hits of a kind on a page.
     """
-    hit = texts.filter(F.col("text").contains("10.")).select("doc", "page", F.explode(_found(F.col("text"), DOI)).alias("x"))
-    value = F.regexp_replace("x.raw", r"(?<=.)[.,;:)\]}>'\"]+$", "")
-    label = F.trim(F.regexp_extract(F.right(F.col("x.before"), F.lit(LABEL)), DOI_LABEL, 0))
-    doi = hit.select("doc", "page", F.col("x.pos").alias("pos"), identifier(value).alias("id"), label.alias("label"), _context("x").alias("context")).filter("id.type = 'doi'")
-    ax = texts.filter(F.col("text").ilike("%arxiv%")).select("doc", "page", F.explode(_found(F.col("text"), ARXIV)).alias("x"))
-    lead = F.regexp_extract("x.raw", r"(?i)^(arxiv\s*:\s*|arxiv\.org/(?:abs|pdf)/)", 1)
-    arxiv = ax.select("doc", "page", F.col("x.pos").alias("pos"), identifier(F.substr("x.raw", F.length(lead) + 1)).alias("id"), F.trim(lead).alias("label"), _context("x").alias("context")).filter("id.type = 'arxiv'")
-    return doi.union(arxiv).select("doc", "page", "pos", "id.type", "id.value", "label", "context", F.when(F.col("label") != "", "high").otherwise("low").alias("confidence"))
+    some = texts.filter(F.col("text").contains("10.") | F.lower("text").contains(NAMES["arxiv"]))
+    found = let(_pieces(F.col("text")), lambda ps: F.array(*[F.array_compact(F.transform(ps, lambda p: _read(kind, p))) for kind in NAMES]))
+    hit = some.select("doc", "page", "text", F.explode(found).alias("kind")).select("doc", "page", "text", F.posexplode("kind").alias("pos", "x"))
+    begin = F.greatest(F.lit(0), F.col("x.at") - CONTEXT)
+    context = squash(F.substr("text", begin + 1, F.col("x.at") + F.col("x.size") + CONTEXT - begin))
+    label = F.trim("x.label")
+    return hit.select("doc", "page", "pos", "x.id.type", "x.id.value", label.alias("label"), context.alias("context"), F.when(label != "", "high").otherwise("low").alias("confidence"))
 
 
 def best(hits: DataFrame, by: list[str] | None = None) -> DataFrame:

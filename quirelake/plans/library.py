@@ -111,8 +111,8 @@ def _quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def quote_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage word for word."""
-    return quotes.contained(*_quotes(spark, sf_dir)).select("quote", "doc")
+    """Documents that hold a benchmark passage word for word, and where."""
+    return quotes.contained(*_quotes(spark, sf_dir))
 
 
 def quote_close_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,8 +145,7 @@ def draft_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (title_key_dups, dup_year_range, dup_components, merge_coalesce, rater_kappa, rater_confusion, stage_outcomes, reviewer_agreement, prisma_flow, co_citation_pairs, mark_in_library, cited_by_topn, quote_similarity, quote_contains, quote_close_matches, draft_works, draft_quotes)}
 
 _KEY = r"nullif(trim(regexp_replace(regexp_replace(lower(strip_accents({})), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')), '')"
-_ALIKE = ["''"] * len(tx.SINGLE) + ['"'] * len(tx.DOUBLE) + ["-"] * len(tx.DASHES)
-_QUOTE = rf"trim(regexp_replace(translate(lower(coalesce(text, '')), '{tx.SINGLE + tx.DOUBLE + tx.DASHES}', '{''.join(_ALIKE)}'), '[\s\x{{00a0}}]+', ' ', 'g'))"
+_MATCH = rf"trim(regexp_replace(translate(lower(coalesce(text, '')), '{tx.ANY_QUOTE}{tx.ANY_DASH}', '{"''" * len(tx.ANY_QUOTE)}{"-" * len(tx.ANY_DASH)}'), '[\s\x{{00a0}}]+', ' ', 'g'))"
 _DOCS = f"(SELECT doc_id, sha256({_KEY.format('text')}) AS k FROM documents)"
 _TA = """r AS (SELECT doc_id AS key, quality, toxic FROM labels WHERE doc_id IS NOT NULL),
     ta AS (SELECT key, CASE WHEN key % 7 = 0 THEN 'maybe' WHEN quality <> 1 - toxic THEN 'conflict' WHEN quality = 1 THEN 'include' ELSE 'exclude' END AS o FROM r),
@@ -182,8 +181,11 @@ ORACLE = {
         GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 25""",
     "quote_similarity": f"""WITH b AS (SELECT item_id, regexp_replace({_KEY.format('text')}, '[^ -~]', '?', 'g') AS t FROM benchmark)
         SELECT b.item_id, round(1 - levenshtein(b.t, c.t)::DOUBLE / greatest(length(b.t), length(c.t)), 6) AS similarity FROM b JOIN b c ON c.item_id = b.item_id + 1""",
-    "quote_contains": f"""WITH q AS (SELECT item_id AS quote, {_QUOTE} AS t FROM benchmark), d AS (SELECT doc_id AS doc, {_QUOTE} AS t FROM documents)
-        SELECT quote, doc FROM q, d WHERE length(q.t) >= 12 AND (contains(d.t, q.t) OR contains(replace(d.t, ' ', ''), replace(q.t, ' ', '')))""",
+    "quote_contains": rf"""WITH q AS (SELECT item_id AS quote, regexp_replace({_MATCH}, '^[\s,.;:''-]+|[\s,.;:''-]+$', '', 'g') AS s FROM benchmark),
+        p AS (SELECT *, array_to_string(list_transform(string_split(s, ' '), lambda w: replace(replace(regexp_escape(w), '\''', '[{tx.ANY_QUOTE}'']'), '\-', '[-{tx.ANY_DASH}]')), '[\s\x{{00a0}}]+') AS pat FROM q WHERE length(s) >= 12 OR contains(s, ' ')),
+        d AS (SELECT doc_id AS doc, text, {_MATCH} AS t FROM documents),
+        h AS (SELECT quote, doc, text, regexp_extract(text, '(?is)' || pat) AS hit FROM p, d WHERE contains(d.t, p.s))
+        SELECT quote, doc, (instr(text, hit) - 1)::INTEGER AS start, (instr(text, hit) - 1 + length(hit))::INTEGER AS "end" FROM h""",
     "draft_works": """WITH p AS (SELECT p_partkey AS doc, p_size AS s FROM part), w AS (
             SELECT doc, 0 AS nth, s % 2 = 0 AS hit, 'citation_key' AS way, 'S' || s AS k FROM p UNION ALL SELECT doc, 1, doc % 5 = 0, 'doi', 'P' || doc FROM p UNION ALL SELECT doc, 2, s % 3 = 0, 'author_year', 'S' || s FROM p)
         SELECT doc, nth, CASE WHEN hit THEN 'matched' ELSE 'not_in_library' END AS status, CASE WHEN hit THEN way END AS matched_by, CASE WHEN hit THEN k END AS key FROM w""",
