@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from quirelake.llm import bpe, hard_negatives, merkle, queries
+from quirelake.llm import bpe, chat_format, hard_negatives, merkle, queries
 
 from ..conftest import SMALL
 
@@ -193,3 +193,39 @@ def test_sql(spark, name):
     mine, names = queries.QUERIES[name](spark, SMALL), [x[0] for x in theirs.description]
     assert sorted(mine.columns) == sorted(names)
     assert sorted(map(repr, map(tuple, mine.select(names).collect()))) == sorted(map(repr, theirs.fetchall()))
+
+
+def plain_paths(rows, most):
+    """Best branches by walking up from every leaf; rows: conv_id, msg, parent, role, text, score."""
+    copies = {}
+    for k, r in enumerate(rows):
+        copies.setdefault((r[0], r[1]), []).append(k)
+    up = {}
+    for (conv, _), own in copies.items():
+        for before, k in zip([None, *own], own, strict=False):
+            up[k] = before if before is not None else copies.get((conv, rows[k][2]), [None])[-1] if rows[k][2] is not None else None
+    out = {}
+    for k in set(up) - set(up.values()):
+        path, at = [], k
+        while at is not None and at not in path:
+            path.append(at)
+            at = up[at]
+        if at is None:
+            out.setdefault(rows[k][0], []).append((-sum(rows[j][5] or 0 for j in path), -len(path), rows[k][1], [rows[j][3:5] for j in reversed(path)]))
+    return {(conv, n + 1): x[3] for conv, found in out.items() for n, x in enumerate(sorted(found, key=lambda x: x[:3])[:most])}
+
+
+@pytest.mark.parametrize("numbered", [True, False])
+def test_reply_trees_with_repeated_messages(spark, numbered):
+    r = random.Random(3)
+    rows = [(1, 1, None, "user", "hi", 0.0), (1, 1, None, "user", "hi", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 0.5)]
+    rows += [(2, k, k - 1 if k else None, "user", f"t{k}", 0.0) for k in range(70)] + [(None, 1, None, "user", None, None), (None, 2, 1, None, "x", None)]
+    rows += [(3, 1, 2, "user", "c", 0.0), (3, 2, 1, "user", "c", 0.0), (3, 3, 2, "user", "under", 0.0), (3, 4, 9, "user", "no parent", 0.0)]
+    for conv in range(10, 40):
+        rows += [(conv, m, r.choice([None, *range(m)]) if m else None, "assistant", f"{conv}-{m}", float(r.randint(-2, 5))) for m in range(r.randint(1, 12))]
+    df = spark.createDataFrame(rows, "conv_id long, msg int, parent int, role string, text string, score double")
+    df = chat_format.numbered(df) if numbered else df
+    out = chat_format.read_back(chat_format.format_paths(df, chat_format.paths(df, 2))).collect()
+    got = {(x["conv_id"], x["branch"]): [(t["role"], t["text"]) for t in x["turns"]] for x in out}
+    assert got == {k: [(a or "", b or "") for a, b in v] for k, v in plain_paths(rows, 2).items()}
+    assert [t for t in got[1, 1]] == [("user", "hi"), ("user", "hi"), ("assistant", "a")]
