@@ -16,7 +16,8 @@ Tokens are estimated as a quarter of the code points, rounded up, unless a colum
 null source is a source of its own; a null or empty text has no tokens and goes with its source's
 whole epochs; a source without tokens has weight 0 and each of its rows comes once. Rows with a null
 doc_id are dealt by all their columns. Rows equal in hash, doc_id and tokens are drawn all or none in
-the cut block. An empty table gives no rows. Columns of docs stay; added ones are named in mix().
+the cut block. An empty table gives no rows. Columns of docs stay, whatever they are called, but for those of
+the four names that mix() adds, which are replaced. Map columns don't count in the hash of a row without doc_id.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import staged
+from .util import free_name, row_hash, staged
 
 BLOCKS, LEVELS, ROUNDS = 1024, 5, 6
 #: Beyond it the largest source has all the weight, or the largest ones are equal and no exponent parts them.
@@ -105,29 +106,34 @@ def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, t
     planned = staged(plan(docs, source, tokens, target_entropy, repetition_limit, budget), "plan")
     held = planned.count() * BLOCKS * 128
     small = (lambda df: F.broadcast(df)) if held <= BROADCAST_BYTES else (lambda df: df)
+    names = ["source", "weight", "full", "n", "rest", "h", "tokens", "block", "t", "run", "s", "b", "take", "room", "spent", "c", "cut", "fits"]
+    _ = {n: free_name(f"_mix_{n}", *docs.columns) for n in names}  # names of the working columns, none of them a column of docs
     n = F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.col("total"))).cast("int")
     full = F.floor("epochs")
-    planned = planned.select(F.col("source").alias("_mix_source"), F.col("weight").alias("_mix_weight"), full.alias("_mix_full"), n.alias("_mix_n"), F.round((F.col("epochs") - full) * F.col("total")).cast("long").alias("_mix_rest"))
-    h = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(seed))).otherwise(F.xxhash64(*docs.columns, F.lit(seed)))
-    keyed = docs.withColumns({"mix_tokens": tokens, "_mix_h": h}).join(small(planned), F.col(source).eqNullSafe(F.col("_mix_source"))).withColumn("_mix_block", F.pmod("_mix_h", "_mix_n").cast("int"))
+    planned = planned.select(F.col("source").alias(_["source"]), F.col("weight").alias(_["weight"]), full.alias(_["full"]), n.alias(_["n"]), F.round((F.col("epochs") - full) * F.col("total")).cast("long").alias(_["rest"]))
+    h = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(seed))).otherwise(row_hash(docs, F.lit(seed)))
+    keyed = docs.withColumns({_["tokens"]: tokens, _["h"]: h}).join(small(planned), F.col(source).eqNullSafe(F.col(_["source"]))).withColumn(_["block"], F.pmod(_["h"], _["n"]).cast("int"))
     #: The partial epoch: running sums over the source's block totals, in that epoch's order.
-    blocks = keyed.groupBy("_mix_source", "_mix_block").agg(F.sum("mix_tokens").alias("_mix_t"), F.first("_mix_rest").alias("_mix_rest"), F.first("_mix_full").alias("_mix_full"))
-    order = _order("_mix_source", "_mix_block", F.col("_mix_full") + 1, seed)
-    run = F.sum("_mix_t").over(Window.partitionBy("_mix_source").orderBy(order, "_mix_block"))
-    blocks = blocks.withColumn("_mix_run", run).select(F.col("_mix_source").alias("_mix_s"), F.col("_mix_block").alias("_mix_b"), F.when(F.col("_mix_run") <= F.col("_mix_rest"), 1).when(F.col("_mix_run") - F.col("_mix_t") < F.col("_mix_rest"), 0).otherwise(-1).alias("_mix_take"), (F.col("_mix_rest") - (F.col("_mix_run") - F.col("_mix_t"))).alias("_mix_room"))
-    drawn = keyed.join(small(blocks), F.col("_mix_source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_block") == F.col("_mix_b")))
+    blocks = keyed.groupBy(_["source"], _["block"]).agg(F.sum(_["tokens"]).alias(_["t"]), F.first(_["rest"]).alias(_["rest"]), F.first(_["full"]).alias(_["full"]))
+    order = _order(_["source"], _["block"], F.col(_["full"]) + 1, seed)
+    run = F.sum(_["t"]).over(Window.partitionBy(_["source"]).orderBy(order, _["block"]))
+    before = F.col(_["run"]) - F.col(_["t"])
+    take = F.when(F.col(_["run"]) <= F.col(_["rest"]), 1).when(before < F.col(_["rest"]), 0).otherwise(-1)
+    blocks = blocks.withColumn(_["run"], run).select(F.col(_["source"]).alias(_["s"]), F.col(_["block"]).alias(_["b"]), take.alias(_["take"]), (F.col(_["rest"]) - before).alias(_["room"]))
+    drawn = keyed.join(small(blocks), F.col(_["source"]).eqNullSafe(F.col(_["s"])) & (F.col(_["block"]) == F.col(_["b"])))
     #: A source has one block at most that its budget cuts; the place of the last row that fits is its cut.
-    place = F.struct("_mix_h", "doc_id", "mix_tokens")
-    spent = F.sum("mix_tokens").over(Window.partitionBy("_mix_source").orderBy("_mix_h", "doc_id", "mix_tokens").rangeBetween(Window.unboundedPreceding, 0))
-    narrow = drawn.filter("_mix_take = 0").select("_mix_source", "_mix_h", "doc_id", "mix_tokens", "_mix_room").withColumn("_mix_spent", spent)
-    cuts = narrow.filter("_mix_spent <= _mix_room").groupBy(F.col("_mix_source").alias("_mix_c")).agg(F.max(place).alias("_mix_cut"))
-    met = drawn.join(small(cuts), F.col("_mix_source").eqNullSafe(F.col("_mix_c")), "left")
-    both = met.withColumn("_mix_fits", (F.col("_mix_take") == 1) | ((F.col("_mix_take") == 0) & F.coalesce(place <= F.col("_mix_cut"), F.lit(False))))
-    epochs = F.sequence(F.lit(1), (F.col("_mix_full") + F.col("_mix_fits").cast("int")).cast("int"))
-    some = both.filter("_mix_full > 0 or _mix_fits").withColumn("mix_epoch", F.explode(epochs))
-    rank = F.pmod(_order("_mix_source", "_mix_block", F.col("mix_epoch"), seed), F.lit(1 << 31)).cast("long")
-    kept = [c for c in docs.columns if c not in ("mix_tokens", "mix_weight", "mix_epoch", "mix_block_rank")]
-    return some.select(*kept, "mix_tokens", F.col("_mix_weight").alias("mix_weight"), "mix_epoch", rank.alias("mix_block_rank"))
+    place = F.struct(F.col(_["h"]).alias("h"), "doc_id", F.col(_["tokens"]).alias("tokens"))
+    spent = F.sum(_["tokens"]).over(Window.partitionBy(_["source"]).orderBy(_["h"], "doc_id", _["tokens"]).rangeBetween(Window.unboundedPreceding, 0))
+    narrow = drawn.filter(F.col(_["take"]) == 0).select(_["source"], _["h"], "doc_id", _["tokens"], _["room"]).withColumn(_["spent"], spent)
+    cuts = narrow.filter(F.col(_["spent"]) <= F.col(_["room"])).groupBy(F.col(_["source"]).alias(_["c"])).agg(F.max(place).alias(_["cut"]))
+    met = drawn.join(small(cuts), F.col(_["source"]).eqNullSafe(F.col(_["c"])), "left")
+    both = met.withColumn(_["fits"], (F.col(_["take"]) == 1) | ((F.col(_["take"]) == 0) & F.coalesce(place <= F.col(_["cut"]), F.lit(False))))
+    epochs = F.sequence(F.lit(1), (F.col(_["full"]) + F.col(_["fits"]).cast("int")).cast("int"))
+    epoch = free_name("_mix_epoch", *docs.columns)
+    some = both.filter((F.col(_["full"]) > 0) | F.col(_["fits"])).withColumn(epoch, F.explode(epochs))
+    rank = F.pmod(_order(_["source"], _["block"], F.col(epoch), seed), F.lit(1 << 31)).cast("long")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("mix_tokens", "mix_weight", "mix_epoch", "mix_block_rank")]
+    return some.select(*kept, F.col(_["tokens"]).alias("mix_tokens"), F.col(_["weight"]).alias("mix_weight"), F.col(epoch).alias("mix_epoch"), rank.alias("mix_block_rank"))
 
 
 def _order(source: str, block: str, epoch: Column, seed: int) -> Column:

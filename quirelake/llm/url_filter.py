@@ -11,13 +11,13 @@ A canonical URL is its lower-case host, without user, trailing dots and the port
 path, "/" if it has none. Hosts and paths that are returned, and that rules are held against, are as
 they stand in the URL.
 
-Pages are joined with their URL's verdict by URL and a salt (a hash of the columns that hold no text), so
-pages of one URL, or without a URL, don't meet in one task.
+Pages are joined with their URL's verdict by URL and a salt (a hash of the row, whatever kinds its ids are of; long texts
+count by their length), so pages of one URL, or without a URL, don't meet in one task.
 
 Cases: a null URL, or one without "://", has empty host and path, fits no rule and gets the default
 verdict. Repeated pages each get a row. Of equal rules with different verdicts, block stands. An
 empty list or page table gives every page the default, or no rows. Columns of pages that are called
-host, path, rule or verdict are replaced; others are kept.
+host, path, rule or verdict are replaced; all others are kept, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import bounded, possible
-from .util import SALTS, ascii_lower, salted, salts_seen, staged
+from .util import SALTS, ascii_lower, free_name, salted, salts_seen, staged
 
 
 def host_of(url: Column) -> Column:
@@ -71,8 +71,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = No
     entries = staged(listing(rules, listed), "listing")
     hosts = entries.filter("host is not null").groupBy(F.col("host").alias("key")).agg(F.collect_set("chars").alias("lengths"))
     facts = entries.agg(F.count("*").alias("n"), F.count_distinct("host").alias("hosts"), F.coalesce(F.sum(F.length("key") + F.coalesce(F.length("rule"), F.lit(0)) + 64), F.lit(0)).alias("bytes")).first()
-    apart = [c for c, kind in pages.dtypes if c != "url" and kind.startswith(("bigint", "int", "smallint", "tinyint", "date", "timestamp", "decimal"))]
-    salt = F.pmod(F.xxhash64(*apart, F.lit(0)), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64(*[_short(c, kind) for c, kind in pages.dtypes if c != "url" and "map<" not in kind and "variant" not in kind], F.lit(0)), F.lit(SALTS)).cast("int")
     urls = pages.filter(F.col("url").contains("://")).groupBy("url").agg(salts_seen(salt).alias("salts"))
     urls = urls.select("url", "salts", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p"))
     labels = F.split("h", r"\.")
@@ -86,7 +85,15 @@ def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = No
     hits = possible(probes, entries.select("key"), facts["n"]).join(bounded(entries.select("key", "rule", "verdict"), facts["bytes"]), "key")
     longest = F.struct(F.length("rule"), F.col("rule"))
     best = hits.groupBy("url", "salts").agg(F.max_by("rule", longest).alias("rule"), F.max_by("verdict", longest).alias("fit"), F.max("verdict").alias("any"))
-    best = salted(best.select(F.col("url").alias("_url"), "salts", F.col("rule").alias("_rule"), F.when(F.col("rule").isNotNull(), F.col("fit")).otherwise(F.col("any")).alias("_verdict")), "salts").withColumnRenamed("salt", "_salt")
-    dealt = pages.drop("host", "path", "rule", "verdict").withColumn("_page_salt", salt)
-    joined = dealt.join(best, (F.col("url") == F.col("_url")) & (F.col("_page_salt") == F.col("_salt")), "left")
-    return joined.select(*[c for c in dealt.columns if c != "_page_salt"], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("_rule").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict"))
+    other = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    own, theirs = free_name("salt_of_page", *pages.columns), {c: free_name(f"{c}_found", *pages.columns) for c in ("url", "salt", "rule", "verdict")}
+    best = salted(best.select("url", "salts", "rule", F.when(F.col("rule").isNotNull(), F.col("fit")).otherwise(F.col("any")).alias("verdict")), "salts")
+    best = best.select(*[F.col(c).alias(n) for c, n in theirs.items()])
+    joined = pages.select(*[F.col(f"`{c}`") for c in other], salt.alias(own)).join(best, (F.col("url") == F.col(theirs["url"])) & (F.col(own) == F.col(theirs["salt"])), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in other], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col(theirs["rule"]).alias("rule"), F.coalesce(F.col(theirs["verdict"]), F.lit(default)).alias("verdict"))
+
+
+def _short(name: str, kind: str) -> Column:
+    """What a column adds to the salt: of a text that may be a whole page its length and begin."""
+    c = F.col(f"`{name}`")
+    return F.xxhash64(F.length(c), F.substring(c, 1, 64)) if kind in ("string", "binary") else c

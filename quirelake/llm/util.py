@@ -11,12 +11,25 @@ from ..operators.components import components as rooted
 from ..operators.components import shared_dir, staged
 from ..session import table
 
-__all__ = ["SALTS", "ascii_lower", "components", "salt_of", "salted", "salts_seen", "shared_dir", "staged", "table"]
+__all__ = ["SALTS", "ascii_lower", "components", "free_name", "row_hash", "salt_of", "salted", "salts_seen", "shared_dir", "staged", "table"]
 
 #: Parts that the rows of one key are dealt to in a salted join.
 SALTS = 64
 
 
+def free_name(wanted: str, *taken: str) -> str:
+    """wanted, lengthened until it is none of the names taken, case aside."""
+    low = {t.lower() for t in taken}
+    while wanted.lower() in low:
+        wanted += "_"
+    return wanted
+
+
+def row_hash(df: DataFrame, *more: Column) -> Column:
+    """A hash of a row's columns, but for maps, which have none."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()], *more)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

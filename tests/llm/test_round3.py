@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from quirelake.llm import bpe, chat_format, hard_negatives, merkle, queries
+from quirelake.llm import bpe, chat_format, hard_negatives, merkle, mixing, queries, toxicity, url_filter
 
 from ..conftest import SMALL
 
@@ -229,3 +230,64 @@ def test_reply_trees_with_repeated_messages(spark, numbered):
     got = {(x["conv_id"], x["branch"]): [(t["role"], t["text"]) for t in x["turns"]] for x in out}
     assert got == {k: [(a or "", b or "") for a, b in v] for k, v in plain_paths(rows, 2).items()}
     assert [t for t in got[1, 1]] == [("user", "hi"), ("user", "hi"), ("assistant", "a")]
+
+
+def test_url_filter_keeps_other_columns(spark):
+    """Columns with names that the operator uses, map columns, and pages with ids of any kind."""
+    rows = [(f"p{k % 40}", "http://a.example.com/en/7" if k % 3 else None, {"k": "v"}, 1, 2, 3, "x", f"own {k}") for k in range(120)]
+    schema = "page_id string, url string, extra map<string,string>, salt int, _salt int, salt_of_page int, url_found string, rule string"
+    pages = spark.createDataFrame(rows, schema)
+    out = url_filter.url_filter(pages, url_filter.rule_table(spark, queries.URL_RULES))
+    assert out.columns == ["page_id", "url", "extra", "salt", "_salt", "salt_of_page", "url_found", "host", "path", "rule", "verdict"]
+    got = out.collect()
+    assert len(got) == 120 and all((r["salt"], r["_salt"], r["salt_of_page"], r["url_found"], r["extra"]) == (1, 2, 3, "x", {"k": "v"}) for r in got)
+    assert {(r["url"] is None, r["rule"], r["verdict"]) for r in got} == {(True, None, "allow"), (False, "example.com/en/7", "allow")}
+
+
+def test_mixing_keeps_other_columns(spark):
+    """Columns with the operator's own names; the rows drawn are those without such columns."""
+    names = ["source", "weight", "full", "n", "rest", "h", "tokens", "block", "t", "run", "s", "b", "take", "room", "spent", "c", "cut", "fits", "epoch"]
+    rows = [(k if k % 7 else None, "word " * (k % 9), f"s{k % 3}" if k % 2 else "big") for k in range(300)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wide = plain.selectExpr("*", *[f"'own' AS _mix_{n}" for n in names], "'mine' AS mix_tokens", "map('a', 1) AS m")
+    a, b = (mixing.mix(d, repetition_limit=1.7) for d in (plain.filter("doc_id IS NOT NULL"), wide.filter("doc_id IS NOT NULL")))
+    assert b.columns == [*[c for c in wide.columns if c != "mix_tokens"], "mix_tokens", "mix_weight", "mix_epoch", "mix_block_rank"]
+    key = ["doc_id", "mix_tokens", "mix_weight", "mix_epoch", "mix_block_rank"]
+    assert sorted(map(tuple, a.select(key).collect())) == sorted(map(tuple, b.select(key).collect()))
+    assert b.filter(" OR ".join(f"_mix_{n} <> 'own'" for n in names)).count() == 0
+    assert mixing.mix(wide, repetition_limit=1.7).filter("doc_id IS NULL").count() >= sum(r[0] is None for r in rows)
+
+
+def plain_mixing(rows, limit):
+    """How many tokens each source may spend: the smallest exponent by bisection in plain arithmetic."""
+    total = Counter()
+    for _, s, t in rows:
+        total[s] += t
+    share = {s: t / sum(total.values()) for s, t in total.items() if t}
+    ratio = lambda a: max(p ** (a - 1) for p in share.values()) / min(p ** (a - 1) for p in share.values())
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (low, mid) if ratio(mid) <= limit else (mid, high)
+    a = 0.0 if ratio(0.0) <= limit else high
+    z = sum(p**a for p in share.values())
+    least = min(p ** (a - 1) / z for p in share.values())
+    return {s: p**a / z / least / p * total[s] for s, p in share.items()}, total
+
+
+def test_mixing_query(spark):
+    """op5: every source's spending is its budget, but for less than one document of the block that is cut; whole epochs have every row."""
+    out = queries.op5_mixing(spark, SMALL)
+    rows = duckdb.sql(f"SELECT doc_id, source, ceil(length(coalesce(text, '')) / 4)::BIGINT FROM '{SMALL}/documents.parquet'").fetchall()
+    budget, total = plain_mixing(rows, 2.0)
+    got, drawn = Counter(), Counter()
+    for r in out.collect():
+        got[r["source"]] += r["mix_tokens"]
+        drawn[r["doc_id"], r["mix_epoch"]] += 1
+    largest = Counter()
+    for _, s, t in rows:
+        largest[s] = max(largest[s], t)
+    assert set(drawn.values()) == {1} and all(drawn[i, 1] == 1 for i, _, _ in rows)
+    for s, b in budget.items():
+        assert b * (1 + 1e-6) + 1 >= got[s] > b * (1 - 1e-6) - largest[s] - 1, s
+        assert got[s] <= 2 * total[s]
