@@ -2,8 +2,10 @@
 
 Training: of labelled rows, at most TRAIN_ROWS (in hashed order; a documented bound) count for each
 unit (a word, or the first 4, 5 or 6 bytes of one) the toxic and the other texts that have it. The
-log-odds ratio under a Dirichlet prior with the corpus rates, drawn towards zero by CERTAIN standard
-errors, is the unit's score, positive or negative; units whose score is thereby zero need no entry.
+log-odds ratio under a Dirichlet prior with the corpus rates, drawn towards zero by so many standard
+errors, is the unit's score, positive or negative; units whose score is thereby zero need no entry. How
+many of CERTAIN it is, FOLDS folds of the training rows tell: each fold is scored by a model of the others,
+and the number with the least log loss over all folds is taken (of equal ones the larger).
 
 Scoring: every token scores that of its unit with the highest z-score (if none is positive, the lowest),
 plus DRIFT, so that text without evidence falls. A linear-time scan finds all maximal-scoring segments
@@ -35,8 +37,10 @@ from .kernels import U, among, chunks, joined, mix, prefix, span_hash, word_hash
 from .util import staged
 
 TRAIN_ROWS = 20_000
-#: Standard errors that a log-odds ratio is drawn towards zero; what every token falls by; chance of a passage in harmless text.
-CERTAIN, DRIFT, SIGNIFICANT = 3.0, -0.1, 0.01
+#: Standard errors that a log-odds ratio may be drawn towards zero, and the folds of the training rows that choose among them.
+CERTAIN, FOLDS = (2.0, 3.0, 4.0), 2
+#: What every token falls by; chance of a passage in harmless text.
+DRIFT, SIGNIFICANT = -0.1, 0.01
 PRIOR = 100.0
 #: Scores of harmless words are counted by thousandths.
 GRID = 1000
@@ -169,18 +173,30 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "train")
-    size = texts.groupBy("toxic").count().collect()
-    n = {r["toxic"]: r["count"] for r in size}
-    if not n.get(0) or not n.get(1):
-        return Model(np.zeros(0, U), np.zeros(0), np.zeros(0), slope=0.0, offset=30.0 if n.get(1) else -30.0)
-    counts = staged(unit_counts(texts), "units")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
+    texts = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", fold), "train")
+    n = {(r["fold"], r["toxic"]): r["count"] for r in texts.groupBy("fold", "toxic").count().collect()}
+    held = [sum(k for (_, toxic), k in n.items() if toxic == x) for x in (0, 1)]
+    if not all(held):
+        return Model(np.zeros(0, U), np.zeros(0), np.zeros(0), slope=0.0, offset=30.0 if held[1] else -30.0)
+    loss = dict.fromkeys(sorted(CERTAIN, reverse=True), 0.0)
+    for k in range(FOLDS):
+        if all(any(n.get((f, x)) for f in range(FOLDS) if f != k) for x in (0, 1)):
+            rest = texts.filter(F.col("fold") != k)
+            counts = staged(unit_counts(rest), "units")
+            for certain in loss:
+                loss[certain] += log_loss(fit(rest, counts, certain), texts.filter(F.col("fold") == k))
+    return fit(texts, staged(unit_counts(texts), "units"), min(loss, key=loss.get))
+
+
+def fit(texts: DataFrame, counts: DataFrame, certain: float) -> Model:
+    """A calibrated model of training texts (text, toxic) and their unit_counts()."""
     all_toxic, all_other = counts.agg(F.sum("toxic"), F.sum("other")).first()
     prior = 0.5 + PRIOR * (F.col("toxic") + F.col("other")) / F.lit(float(all_toxic + all_other))
     a, b = F.col("toxic") + prior, F.col("other") + prior
     odds = F.log(a / (all_toxic + PRIOR - a)) - F.log(b / (all_other + PRIOR - b))
     error = F.sqrt(1 / a + 1 / b)
-    scored = counts.select("unit", (F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - CERTAIN * error)).alias("weight"), (odds / error).alias("z"))
+    scored = counts.select("unit", (F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - certain * error)).alias("weight"), (odds / error).alias("z"))
     model_rows = scored.filter("weight <> 0").toPandas()  # part of the vocabulary of TRAIN_ROWS texts
     unit = model_rows["unit"].to_numpy(dtype=np.int64).view(U)
     order = np.argsort(unit)
@@ -188,6 +204,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return calibrate(model, texts)
 
 
+def log_loss(model: Model, texts: DataFrame) -> float:
+    """The sum of a model's log loss over texts (text, toxic)."""
+
+    def lost(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw in chunks(batches, "text"):
+            p = np.array([model.score(model.evidence(n, x)) for n, x in model.segments(raw)])
+            toxic = np.array(part.column("toxic").to_pylist(), dtype=bool)
+            yield pa.RecordBatch.from_arrays([pa.array(-np.log(np.maximum(np.where(toxic, p, 1 - p), 1e-12)))], names=["loss"])
+
+    return texts.select("text", "toxic").mapInArrow(lost, "loss double").agg(F.sum(F.round("loss", 9))).first()[0] or 0.0
+
+
 def calibrate(model: Model, texts: DataFrame) -> Model:
     """Extreme-value and logistic parameters from the training rows (bounded, so held by the driver)."""
 

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from quirelake.llm import bpe, chat_format, hard_negatives, merkle, mixing, queries, toxicity, url_filter
 
@@ -291,3 +292,16 @@ def test_mixing_query(spark):
     for s, b in budget.items():
         assert b * (1 + 1e-6) + 1 >= got[s] > b * (1 - 1e-6) - largest[s] - 1, s
         assert got[s] <= 2 * total[s]
+
+
+def test_toxicity_learns_from_training_rows_only(spark):
+    """Labels of rows that are held out change no score, and on the tables held-out toxic documents are told from others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.held_out(F.col("doc_id"))
+    turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = ({r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, x).collect()} for x in (labels, turned))
+    assert a == b
+    rows = [(a[r["doc_id"]], r["toxic"]) for r in labels.filter(held).dropna().join(docs.select("doc_id"), "doc_id").collect()]
+    bad, good = [s for s, t in rows if t], [s for s, t in rows if not t]
+    auc = sum((x > y) + (x == y) / 2 for x in bad for y in good) / (len(bad) * len(good))
+    assert auc >= 0.85 and sum(s >= 0.7 for s in bad) >= 0.6 * len(bad) and sum(s >= 0.7 for s in good) <= 0.05 * len(good)
