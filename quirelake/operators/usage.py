@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import staged
+
 #: Upper bounds of the latency buckets, in ms.
 BUCKETS = [5, 25, 100, 500, 2000, 10000]
 RETAIN_DAYS, RETAIN_ROWS = 30, 500_000
@@ -15,17 +19,68 @@ def from_event_table(events: DataFrame) -> DataFrame:
     return events.select("event_id", "ts", F.lit("tool").alias("kind"), F.col("event_type").alias("name"), "user_id", (F.col("event_type") != "error").alias("ok"), F.col("value").alias("ms"), F.col("props").alias("shape"))
 
 
+#: Groups of more rows find their percentiles by distributed selection: parts of a value range in a round, and parts that a group's rows are dealt to.
+GROUP_ROWS, PARTS, SALTS = 100_000, 256, 16
+#: Ranges to be searched are broadcast up to this number.
+BROADCAST_RANGES = 100_000
+
+
+def same(keys: list[str]) -> Column:
+    """Whether the keys agree with those of the other side, called _key0, _key1, ...; null agrees with null."""
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(keys)])
+
+
+def as_other(keys: list[str]) -> list[Column]:
+    return [F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)]
+
+
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and a column for each share: the smallest value that has so large a share of the group's values at or below it.
+
+    Every group and share has a range of values and a rank in it. In a round the range is cut into PARTS equal ones, their rows are
+    counted before the shuffle, and the part that holds the rank is the next range, from its least to its greatest value, until both are one.
+    So a group's rows never meet, however many it has. Nulls don't count; a group of nulls has nulls.
+    """
+    rows = staged(rows.select(*keys, F.col(value).cast("double").alias("_v"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("_salt")), "values")
+    whole = rows.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("_share"), F.greatest(F.lit(1), F.ceil(F.round(F.lit(p) * F.col("_n"), 9))).cast("long").alias("_rank")) for n, p in shares.items()]))
+    open_, done = staged(whole.select("*", asked.alias("x")).select(*keys, "x._share", "_lo", "_hi", "x._rank"), "ranges"), []
+    while True:
+        done.append(open_.filter("_lo is null or _lo = _hi").select(*keys, "_share", "_lo"))
+        open_ = open_.filter("_lo < _hi")
+        n = open_.count()
+        if not n:
+            break
+        ranges = open_.select(*as_other(keys), "_share", "_lo", "_hi", "_rank", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_s"))
+        ranges = F.broadcast(ranges) if n * SALTS <= BROADCAST_RANGES else ranges
+        #: Halves first, so that a range from the least to the greatest double has a width.
+        part = F.least(F.lit(PARTS - 1), F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * PARTS)).cast("int")
+        met = rows.join(ranges, same(keys) & (F.col("_salt") == F.col("_s")) & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        counts = met.groupBy(*keys, "_share", "_rank", part.alias("_part")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.sum("_c").over(Window.partitionBy(*keys, "_share").orderBy("_part"))
+        held = counts.withColumn("_upto", upto).filter("_rank > _upto - _c and _rank <= _upto")
+        open_ = staged(held.select(*keys, "_share", "_lo", "_hi", (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("_rank")), "ranges")
+    found = reduce(DataFrame.unionByName, done)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_share") == n, F.col("_lo"))).alias(n) for n in shares])
+
+
 def daily(events: DataFrame) -> DataFrame:
-    """By UTC day, kind, name and user: calls, errors, sum, nearest-rank p50 and p95, max. A null user is a group."""
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY ms)")
-    return events.groupBy(F.to_date("ts").alias("day"), "kind", "name", "user_id").agg(
-        F.count("*").alias("calls"),
-        F.count_if(~F.col("ok")).alias("errors"),
-        F.round(F.sum("ms"), 4).alias("ms_sum"),
-        disc(0.5).alias("ms_p50"),
-        disc(0.95).alias("ms_p95"),
-        F.max("ms").alias("ms_max"),
-    )
+    """By UTC day, kind, name and user: calls, errors, sum, nearest-rank p50 and p95, max. A null user is a group.
+
+    Groups of up to GROUP_ROWS rows have their percentiles from one aggregate, larger ones from nearest_rank().
+    """
+    keys, shares = ["day", "kind", "name", "user_id"], {"ms_p50": 0.5, "ms_p95": 0.95}
+    rows = events.withColumn("day", F.to_date("ts"))
+    plain = [F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("errors"), F.round(F.sum("ms"), 4).alias("ms_sum")]
+    disc = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY ms)").alias(n) for n, p in shares.items()]
+    large = staged(rows.groupBy(*keys).count().filter(F.col("count") > GROUP_ROWS).select(*as_other(keys)), "large")
+    if large.isEmpty():
+        return rows.groupBy(*keys).agg(*plain, *disc, F.max("ms").alias("ms_max"))
+    small = rows.join(large, same(keys), "left_anti").groupBy(*keys).agg(*plain, *disc, F.max("ms").alias("ms_max"))
+    hot = rows.join(large, same(keys), "left_semi")
+    ranks = nearest_rank(hot, keys, "ms", shares).select(*as_other(keys), *shares)
+    sums = hot.groupBy(*keys).agg(*plain, F.max("ms").alias("ms_max"))
+    return small.unionByName(sums.join(ranks, same(keys)).select(*keys, "calls", "errors", "ms_sum", *shares, "ms_max"))
 
 
 def by_day(rows: DataFrame) -> DataFrame:

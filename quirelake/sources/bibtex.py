@@ -90,9 +90,14 @@ def _fields(text: str, at: int, end: int, macros: dict[str, str]) -> tuple[dict[
     return out, warnings
 
 
-def entries(text: str) -> list[tuple[str, str, dict[str, str], list[str]]]:
-    """(type, key, fields as written, warnings) of every entry; a broken one ends where the next begins on a line of its own."""
-    macros = {m[:3].lower(): m for m in MONTHS}
+def entries(text: str, known: dict[str, str] | None = None) -> list[tuple[str, str, dict[str, str], list[str]]]:
+    """(type, key, fields as written, warnings) of every entry; a broken one ends where the next begins on a line of its own.
+
+    known: macros of the text before this one; those of this text are added to it.
+    """
+    macros = {} if known is None else known
+    for m in MONTHS:
+        macros.setdefault(m[:3].lower(), m)
     out, at = [], 0
     while m := _ENTRY.search(text, at):
         kind, begin = m[1].lower(), m.end()
@@ -104,7 +109,7 @@ def entries(text: str) -> list[tuple[str, str, dict[str, str], list[str]]]:
         if kind in ("comment", "preamble"):
             continue
         if kind == "string":
-            macros |= {k.lower(): v for k, v in _fields(text, begin, end, macros)[0].items()}
+            macros.update({k.lower(): v for k, v in _fields(text, begin, end, macros)[0].items()})
             continue
         key = re.compile(r"\s*([^,]*?)\s*(?:,|$)").match(text[begin:end])
         first, warnings = key[1], []
