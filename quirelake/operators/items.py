@@ -108,10 +108,15 @@ def page_offsets(pages: DataFrame, key: str, order: str, gap: int = 2) -> DataFr
     return pages.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
 
 
-def last_heading(lines: DataFrame, key: str, order: str, heading: Column) -> DataFrame:
-    """lines with the last heading at or before each."""
+#: A heading counts for so many lines.
+HEADING_LINES = 200
+
+
+def last_heading(lines: DataFrame, key: str, order: str, heading: Column, within: int = HEADING_LINES) -> DataFrame:
+    """lines with the last heading at or before each, no more than so many lines before it."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("section", F.last(F.when(heading, F.col("text")), ignorenulls=True).over(w))
+    last = F.last(F.when(heading, F.struct(F.col(order).alias("at"), F.col("text").alias("text"))), ignorenulls=True).over(w)
+    return lines.withColumn("section", F.when(F.col(order) - last["at"] <= within, last["text"]))
 
 
 def activity(items: DataFrame, since: Column) -> DataFrame:

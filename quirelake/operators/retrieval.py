@@ -425,3 +425,18 @@ def rank_within(passages: DataFrame, query: str, n: int = 5) -> DataFrame:
     scored = own.join(stats, "doc").select("doc", "id", score.alias("score")).filter("score > 0")
     w = Window.partitionBy("doc").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def rank_within_fused(passages: DataFrame, vectors: DataFrame, query: str, own: list[float], n: int = 5) -> DataFrame:
+    """passages(doc, id, text) ranked as by rank_within(), its best max(4n, 20) of every document once more by the cosine of
+    vectors(doc, id, vector) with own, and both lists fused by reciprocal ranks: (doc, id, score, rank). A passage without a vector has cosine 0."""
+    pool = rank_within(passages, query, max(4 * n, 20)).select("doc", "id", F.col("rank").alias("word_rank"))
+    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    asked = F.array(*[F.lit(float(x)) for x in own])
+    both = F.zip_with("vector", asked, lambda x, y: F.coalesce(x.cast("double"), F.lit(0.0)) * F.coalesce(y, F.lit(0.0)))
+    cosine = F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / F.nullif(size(F.col("vector")) * size(asked), F.lit(0.0))
+    placed = pool.join(vectors.select("doc", "id", "vector"), ["doc", "id"], "left").withColumn("cosine", F.round(F.coalesce(cosine, F.lit(0.0)), 9))
+    near = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("cosine"), "word_rank"))
+    fused = placed.withColumn("near", near).withColumn("score", 1.0 / (RRF_K + F.col("word_rank")) + 1.0 / (RRF_K + F.col("near")))
+    last = Window.partitionBy("doc").orderBy(F.desc("score"), "word_rank")
+    return fused.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= n).select("doc", "id", "score", "rank")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import incremental, items
+from ..operators import asof, incremental, items
 from ..session import table
 
 
@@ -113,10 +113,19 @@ def page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def last_heading_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each turn the user turn it stands under."""
     c = table(spark, sf_dir, "conversations")
-    out = items.last_heading(c, "conv_id", "turn", F.col("role") == "user")
+    out = items.last_heading(c, "conv_id", "turn", (F.col("role") == "user") & F.col("text").isNotNull())
     return out.select("conv_id", "turn", F.md5("section").alias("section_md5"))
 
 
+def events_after_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each line the customer's last order of a high price at or before its ship date, within 200 days."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust"), "o_orderkey", "o_totalprice", F.unix_date(F.to_date("o_orderdate")).alias("day"))
+    lines = table(spark, sf_dir, "lineitem").join(o.select("o_orderkey", "cust"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "cust", F.unix_date(F.to_date("l_shipdate")).alias("day"))
+    marks = o.filter("o_totalprice > 200000").groupBy("cust", "day").agg(F.max("o_orderkey").alias("o_orderkey"))
+    out = asof.last_before(lines, marks, "cust", "day", within=200)
+    return out.select("l_orderkey", "l_linenumber", F.col("mark.o_orderkey").alias("last_order"))
+
+
 def digest_filter_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each conversation the number of turns by role and its longest turn."""
     c = table(spark, sf_dir, "conversations")
@@ -136,7 +145,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (item_tags, item_quick_search, related_links, item_filter_page, boolean_tags, top_level_semi, deletion_diff, missing_tier, parent_chain, tag_counts, off_taxonomy, text_budget, page_offsets, last_heading_asof, digest_filter_sort, csv_guard, html_text)}
+QUERIES = {f.__name__: f for f in (item_tags, item_quick_search, related_links, item_filter_page, boolean_tags, top_level_semi, deletion_diff, missing_tier, parent_chain, tag_counts, off_taxonomy, text_budget, page_offsets, last_heading_asof, events_after_orders, digest_filter_sort, csv_guard, html_text)}
 
 _TAGS = "(SELECT p_partkey AS key, unnest(list_distinct(string_split(p_type, ' '))) AS tag FROM part)"
 _CSV = r"""CASE WHEN regexp_matches({0}, '^[=+@\t\r-]') AND NOT regexp_matches({0}, '^[+-](\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN '"''' || replace({0}, '"', '""') || '"'
@@ -175,7 +184,11 @@ ORACLE = {
             OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM conversations)
         SELECT conv_id, turn, start, start + n AS "end", start <= 1000 AND start + n > 1000 AS holds FROM b""",
     "last_heading_asof": """WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND text IS NOT NULL)
-        SELECT c.conv_id, c.turn, md5(u.text) AS section_md5 FROM conversations c ASOF LEFT JOIN u ON c.conv_id = u.conv_id AND c.turn >= u.turn""",
+        SELECT c.conv_id, c.turn, CASE WHEN c.turn - u.turn <= 200 THEN md5(u.text) END AS section_md5 FROM conversations c ASOF LEFT JOIN u ON c.conv_id = u.conv_id AND c.turn >= u.turn""",
+    "events_after_orders": """WITH o AS (SELECT o_custkey AS cust, o_orderkey, o_totalprice, o_orderdate::DATE AS day FROM orders),
+        m AS (SELECT cust, day, max(o_orderkey) AS last FROM o WHERE o_totalprice > 200000 GROUP BY ALL),
+        l AS (SELECT l_orderkey, l_linenumber, cust, l_shipdate::DATE AS day FROM lineitem JOIN o ON o_orderkey = l_orderkey)
+        SELECT l_orderkey, l_linenumber, CASE WHEN l.day - m.day <= 200 THEN m.last END AS last_order FROM l ASOF LEFT JOIN m ON l.cust = m.cust AND l.day >= m.day""",
     "digest_filter_sort": """WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY length(coalesce(text, '')) DESC, turn) AS k FROM conversations),
         n AS (SELECT conv_id, count(*) FILTER (lower(role) = 'user') AS user_turns, count(*) FILTER (lower(role) = 'assistant') AS assistant_turns FROM conversations GROUP BY 1)
         SELECT t.conv_id, turn, chars, user_turns, assistant_turns FROM t JOIN n USING (conv_id) WHERE k = 1""",

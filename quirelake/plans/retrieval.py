@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunks
-from ..operators import retrieval
+from ..functions.text import tokens
+from ..operators import passages, retrieval
 from ..session import table
 
 #: The queries' words, result size, and digits that scores are compared by.
@@ -130,6 +133,46 @@ def passages_in_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.rank_within(c, QUERY, 3).filter("score > 0"))
 
 
+def passages_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each conversation the turns that answer the words and the vector with id 0 best; the k-th vector belongs to turn k % 4 of conversation k / 4."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("id"), "text")
+    v = _vectors(spark, sf_dir)
+    own = list(v.filter("id = 0").first()["vector"])
+    vectors = v.select(F.floor(F.col("id") / 4).alias("doc"), (F.col("id") % 4).alias("id"), "vector")
+    return retrieval.rank_within_fused(c, vectors, QUERY, own, 3).withColumn("score", F.round("score", 9))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as metadata, documents as full texts, conversations as own words of items 0 to 199."""
+    item = lambda c: F.pmod(F.col(c), F.lit(200)).alias("item")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.concat_ws(". ", "p_name", "p_brand", "p_type").alias("text"))
+    c = table(spark, sf_dir, "conversations").select(item("conv_id"), "text")
+    return passages.union(p, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text"), c)
+
+
+def passage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages, items and characters of each source."""
+    out = _sources(spark, sf_dir).groupBy("source")
+    return out.agg(F.count("*").alias("passages"), F.count_distinct("item").alias("items"), F.count_distinct("id").alias("ids"), F.sum(F.length("text")).alias("chars"))
+
+
+def passage_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after the full text of every tenth document has become its language's name."""
+    new = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").alias("item"), "lang").withColumnRenamed("lang", "text")
+    out = passages.replaced(_sources(spark, sf_dir), passages.FULL_TEXT, new).groupBy("source")
+    return out.agg(F.count("*").alias("passages"), F.count_distinct("item").alias("items"), F.count_distinct("id").alias("ids"), F.sum(F.length("text")).alias("chars"))
+
+
+def term_df_decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of all documents whose accented letters are written as a letter and a mark: the same as those of composed ones."""
+    text = F.col("text")
+    for c in map(chr, range(0xC0, 0x180)):
+        if len(unicodedata.normalize("NFD", c)) == 2:
+            text = F.replace(text, F.lit(c), F.lit(unicodedata.normalize("NFD", c)))
+    own = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(tokens(text))).alias("term"))
+    return own.groupBy("term").agg(F.count("*").alias("df"))
+
+
 def passage_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in overlapping passages of 512 characters."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunks.chunks(F.col("text"))).alias("c"))
@@ -153,7 +196,7 @@ def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(best.join(_passages(spark, sf_dir), "id").select("id", "score", chunks.snippet(F.col("text"), [w for w in words if w not in common] or words).alias("snippet")))
 
 
-QUERIES = {f.__name__: f for f in (term_df, high_df_terms, accent_variants, bm25_topk, bm25_accent_expanded, vector_topk_exact, corpus_mean, hamming_pool, vector_topk_two_stage, hybrid_search, index_refresh, index_counts, merge_by_rank, passages_in_conversation, passage_chunks, passages_in_document, search_snippets)}
+QUERIES = {f.__name__: f for f in (term_df, high_df_terms, accent_variants, bm25_topk, bm25_accent_expanded, vector_topk_exact, corpus_mean, hamming_pool, vector_topk_two_stage, hybrid_search, index_refresh, index_counts, merge_by_rank, passages_in_conversation, passages_fused, passage_sources, passage_replaced, term_df_decomposed, passage_chunks, passages_in_document, search_snippets)}
 
 _TOKENS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) > 1)"
 _DOCS = "SELECT doc_id AS id, text FROM documents"
@@ -189,6 +232,13 @@ _END = """CASE WHEN {start} + 512 >= length(t) THEN length(t)
     WHEN strpos(reverse(substr(t, {start} + 1, 513)), ' ') > 0 AND 513 - strpos(reverse(substr(t, {start} + 1, 513)), ' ') > 256 THEN {start} + 513 - strpos(reverse(substr(t, {start} + 1, 513)), ' ')
     ELSE {start} + 512 END"""
 
+_CUT = rf"""d AS (SELECT item, src, trim(regexp_replace(text, '{_SPACES}+', ' ', 'g')) AS t FROM texts WHERE text IS NOT NULL),
+    c AS (SELECT item, src, t, 0 AS start, {_END.format(start="0")} AS stop FROM d WHERE t <> ''
+        UNION ALL SELECT item, src, t, greatest(stop - 64, start + 1), {_END.format(start="greatest(stop - 64, start + 1)")} FROM c WHERE stop < length(t))"""
+_SOURCES = "WITH RECURSIVE texts AS (SELECT item, 'fulltext' AS src, text FROM ({full}) UNION ALL SELECT conv_id % 200, 'own', text FROM conversations)," + _CUT.replace("{", "{{").replace("}", "}}") + """,
+    p AS (SELECT src AS source, item, trim(substr(t, start + 1, stop - start)) AS text FROM c UNION ALL SELECT 'metadata', p_partkey, concat_ws('. ', p_name, p_brand, p_type) FROM part)
+    SELECT source, count(*) AS passages, count(DISTINCT item) AS items, count(*) AS ids, sum(length(text))::BIGINT AS chars FROM p WHERE text <> '' GROUP BY source"""
+
 ORACLE = {
     "term_df": f"WITH {_TF} SELECT term, df, cf FROM df",
     "high_df_terms": f"WITH {_TF} SELECT term, df FROM df, corpus WHERE n >= 100 AND df >= ceil(0.3 * n)",
@@ -225,6 +275,22 @@ ORACLE = {
     "merge_by_rank": f"""WITH {_scores(QUERY, accents=False)}, h AS (SELECT coalesce(source, '') AS library, id, round(score, 6) AS score,
             row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY round(score, 6) DESC, id) AS rank, count(*) OVER (PARTITION BY coalesce(source, '')) AS hits FROM bm25 JOIN documents ON doc_id = id WHERE score > 0)
         SELECT library, id, score, rank, hits FROM h WHERE rank <= {K} ORDER BY rank, library LIMIT {K}""",
+    "passages_fused": f"""WITH t AS (SELECT conv_id AS doc, turn AS id, {_TOKENS.format("text")} AS t FROM conversations),
+        s AS (SELECT doc, count(*) AS n, avg(len(t)) AS avgdl FROM t GROUP BY doc),
+        tf AS (SELECT doc, id, length, term, count(*) AS tf FROM (SELECT doc, id, len(t) AS length, unnest(t) AS term FROM t)
+            WHERE term IN (SELECT unnest({_TOKENS.format(repr(QUERY))})) GROUP BY ALL),
+        df AS (SELECT doc, term, count(*) AS df FROM tf GROUP BY ALL),
+        sc AS (SELECT doc, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))) AS score
+            FROM tf JOIN df USING (doc, term) JOIN s USING (doc) GROUP BY doc, id),
+        w AS (SELECT doc, id, row_number() OVER (PARTITION BY doc ORDER BY score DESC, id) AS word FROM sc QUALIFY word <= 20),
+        q AS (SELECT embedding::DOUBLE[] AS own FROM embeddings WHERE vec_id = 0),
+        v AS (SELECT vec_id // 4 AS doc, vec_id % 4 AS id, round(list_cosine_similarity(embedding::DOUBLE[], own), 9) AS near FROM embeddings, q),
+        r AS (SELECT w.*, row_number() OVER (PARTITION BY doc ORDER BY coalesce(near, 0) DESC, word) AS close FROM w LEFT JOIN v USING (doc, id)),
+        f AS (SELECT *, 1.0::DOUBLE / (60 + word) + 1.0::DOUBLE / (60 + close) AS score FROM r)
+        SELECT doc, id, round(score, 9) AS score, row_number() OVER (PARTITION BY doc ORDER BY score DESC, word) AS rank FROM f QUALIFY rank <= 3""",
+    "term_df_decomposed": f"WITH {_TF} SELECT term, df FROM df",
+    "passage_sources": _SOURCES.format(full="SELECT doc_id AS item, text FROM documents"),
+    "passage_replaced": _SOURCES.format(full="SELECT doc_id AS item, CASE WHEN doc_id % 10 = 0 THEN lang ELSE text END AS text FROM documents"),
     "passages_in_conversation": f"""WITH t AS (SELECT conv_id AS doc, turn AS id, {_TOKENS.format("text")} AS t FROM conversations),
         s AS (SELECT doc, count(*) AS n, avg(len(t)) AS avgdl FROM t GROUP BY doc),
         tf AS (SELECT doc, id, length, term, count(*) AS tf FROM (SELECT doc, id, len(t) AS length, unnest(t) AS term FROM t)
