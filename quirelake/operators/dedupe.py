@@ -102,11 +102,6 @@ def moves(grouped: DataFrame, children: DataFrame) -> DataFrame:
     return children.join(own, "parentItem").select("master", "key")
 
 
-def additions(united: Column, held: Column) -> Column:
-    """What a merge adds to the master's list."""
-    return F.array_except(united, F.coalesce(held, F.array().cast("array<string>")))
-
-
 def is_empty(c: Column, is_list: bool = False) -> Column:
     """Whether a field counts as empty: null, blank, or an empty list."""
     return c.isNull() | (F.size(c) == 0 if is_list else F.trim(c.cast("string")) == "")
@@ -117,6 +112,6 @@ def merge_plan(grouped: DataFrame, items: DataFrame, fields: list[str], sets: li
     the sets (tags, collections) as the master's with the duplicates' added. grouped: master, key, position."""
     rows = grouped.join(items, "key")
     order = F.struct((F.col("key") != F.col("master")).cast("int"), F.col("position"), F.col("key"))
-    filled = [F.min_by(F.when(F.trim(F.col(f).cast("string")) != "", F.col(f)), F.when(F.trim(F.col(f).cast("string")) != "", order)).alias(f) for f in fields]
+    filled = [F.min_by(F.when(~is_empty(F.col(f)), F.col(f)), F.when(~is_empty(F.col(f)), order)).alias(f) for f in fields]
     united = [F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col(s).alias("v")))), lambda x: x["v"]))).alias(s) for s in sets]
     return rows.groupBy("master").agg(*filled, *united, F.count_if(F.col("key") != F.col("master")).alias("merged"))

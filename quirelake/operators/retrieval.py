@@ -72,15 +72,20 @@ def _write_postings(post: DataFrame, path: str) -> None:
 
 def build(passages: DataFrame, path: str, vectors: DataFrame | None = None) -> Index:
     """Index passages and vectors under a path that must not exist."""
-    spark = passages.sparkSession
-    _write_postings(postings(passages), path)
+    write_from(postings(passages), passages.select("id"), path)
+    if vectors is not None:
+        _write_vectors(vectors, path)
+    return Index(passages.sparkSession, path)
+
+
+def write_from(post: DataFrame, ids: DataFrame, path: str) -> None:
+    """The tables of a keyword index under path, from the postings and the ids of all passages."""
+    spark = ids.sparkSession
+    _write_postings(post, path)
     #: The texts are split into words once; passages without any come from the ids alone.
     own = Index(spark, path).read("postings").groupBy("id").agg(F.first("length").alias("length"))
-    passages.select("id").join(own, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length")).write.parquet(f"{path}/lengths")
+    ids.join(own, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length")).write.parquet(f"{path}/lengths")
     _write_terms(spark, path)
-    if vectors is not None:
-        _write_vectors(vectors, path)
-    return Index(spark, path)
 
 
 def build_vectors(vectors: DataFrame, path: str) -> Index:

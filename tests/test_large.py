@@ -3,11 +3,12 @@
 import random
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from quirelake.functions import normal
 from quirelake.functions import text as tx
-from quirelake.operators import identifiers, usage
+from quirelake.operators import identifiers, retrieval, upkeep, usage
 from quirelake.session import table
 from quirelake.sources import bibliography, bibtex, split
 
@@ -106,3 +107,37 @@ def test_identifiers(spark):
     assert got["doi", "10.2000/c"] == ("high", "doi:") and got["doi", "10.3000/d"] == ("low", "") and got["arxiv", "2101.00001v2"][0] == "high"
     assert got["arxiv", "hep-th/9901001"][0] == got["arxiv", "2102.00002"][0] == "high" and got["doi", "10.1000/AB"][0] == "high"
     assert all(x["value"] in x["context"] for x in rows)
+
+
+def test_build_in_steps(spark, sf_dir, tmp_path):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    plan, path = {"embedder": "none", "backend": "tables", "total": 200, "version": 1}, f"{tmp_path}/stepped"
+    index, read = upkeep.build_in_steps(docs, path, plan, steps=4, most=3)
+    assert index is None and 0 < read < docs.count()
+    index, rest = upkeep.build_in_steps(docs, path, plan, steps=4)
+    assert read + rest == docs.count()  # what was kept isn't read again
+    fresh = retrieval.build(docs, f"{tmp_path}/fresh")
+    for name in ("terms", "lengths", "facts"):
+        assert same_rows(fresh.read(name), index.read(name))
+    index, read = upkeep.build_in_steps(docs, f"{tmp_path}/other", plan, steps=3, most=1)
+    assert upkeep.build_in_steps(docs, f"{tmp_path}/other", plan | {"version": 2}, steps=3)[1] == docs.count()
+    with pytest.raises(ValueError):
+        upkeep.build_in_steps(docs, f"{tmp_path}/other", plan | {"embedder": "x"}, steps=3)
+
+
+def test_merged_statistics(spark, sf_dir, tmp_path):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = retrieval.build(docs, f"{tmp_path}/index")
+    changed = docs.filter("id % 9 = 0").withColumn("text", F.concat(F.lit("Neuwort und "), F.col("text").substr(1, 40)))
+    gone = docs.filter("id % 7 = 0").select("id")
+    now = docs.filter("id % 9 <> 0").unionByName(changed).join(gone, "id", "left_anti")
+    assert same_rows(retrieval.build(now, f"{tmp_path}/now").read("terms"), upkeep.merged_terms(index, changed, gone))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = retrieval.build_vectors(rows, f"{tmp_path}/vectors")
+    other = rows.filter("id % 50 = 0").withColumn("vector", F.transform("vector", lambda x: -x))
+    small, made = upkeep.refresh_vectors(index, f"{tmp_path}/small", other, rows.filter("id = 7").select("id"))
+    assert made == other.count() and same_rows(index.read("mean"), small.read("mean"))
+    assert same_rows(index.read("vectors").filter("id % 50 <> 0 and id <> 7"), small.read("vectors").filter("id % 50 <> 0"))
+    large, made = upkeep.refresh_vectors(small, f"{tmp_path}/large", other.limit(0), rows.filter("id % 5 = 0").select("id"))
+    fresh = retrieval.build_vectors(small.read("vectors").select("id", "vector").filter("id % 5 <> 0"), f"{tmp_path}/again")
+    assert made == large.read("vectors").count() and all(same_rows(fresh.read(n), large.read(n)) for n in ("mean", "vectors", "pool"))
