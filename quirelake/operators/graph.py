@@ -51,6 +51,14 @@ def references_of(edges: DataFrame, work, n: int = 50) -> DataFrame:
     return own.orderBy("ord", "cited").limit(n).select("cited").join(F.broadcast(total))  # one row
 
 
+def related_of(works: DataFrame, work, n: int = 20) -> DataFrame:
+    """(place, related, title, total): the first n works that a work's record names as related, in its order, with the title where the
+    work is known, and the number of all. works: id, title, related (array of ids)."""
+    own = works.filter(F.col("id") == work).select(F.posexplode("related").alias("place", "related"), F.size("related").alias("total")).filter(F.col("place") < n)
+    known = works.select(F.col("id").alias("related"), "title")
+    return own.join(known, "related", "left").select("place", "related", "title", "total")
+
+
 def relations(values: Column) -> Column:
     """A map of relations whose values are a string or a JSON list, all as lists without repeats."""
     return F.transform_values(values, lambda k, v: F.array_distinct(F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))))

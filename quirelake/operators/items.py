@@ -32,12 +32,23 @@ def split_conjunction(raw: str) -> list[str]:
     return [p for p in (x.strip() for x in raw.split("&&")) if p]
 
 
-def search(items: DataFrame, tag: str | list[str] | None = None, item_type: str | list[str] | None = None, text: str | None = None, top: bool = False, since: int | None = None, trashed: bool = False) -> DataFrame:
-    """Items(key, itemType, tags, title, ...) that meet every filter; columns that a filter doesn't need may be missing."""
+#: What a search for words reads: title, creators and year, or these with every other text column.
+NARROW, WIDE = ["title", "creators", "date"], ["title", "creators", "date", "abstractNote", "text", "publicationTitle"]
+
+
+def search(items: DataFrame, tag: str | list[str] | None = None, item_type: str | list[str] | None = None, text: str | None = None, top: bool = False, since: int | None = None, trashed: bool = False, keys: list | None = None, everything: bool = False) -> DataFrame:
+    """Items(key, itemType, tags, title, ...) that meet every filter; columns that a filter doesn't need may be missing.
+
+    text: a part of title, creators or date; with everything each of its words is a part of any text column. keys: only these items.
+    Trashed items are left out unless they are asked for.
+    """
     note = F.col("itemType") == "annotation"
     where = has_any(tag, lambda v: F.array_contains("tags", v), note) & has_any(item_type, lambda v: F.col("itemType") == v, note)
     if text:
-        where &= F.lower("title").contains(text.lower())
+        fields = F.lower(F.concat_ws("\n", *[F.col(c) for c in (WIDE if everything else NARROW) if c in items.columns]))
+        where &= fields.contains(text.lower()) if not everything else reduce(Column.__and__, [fields.contains(w) for w in text.lower().split()])
+    if keys is not None:
+        where &= F.col("key").isin(keys)
     if top:
         where &= F.col("parentItem").isNull()
     if since is not None:
@@ -63,6 +74,18 @@ def tag_counts(items: DataFrame) -> DataFrame:
     return items.select("key", F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count("*").alias("items"))
 
 
+def tag_listing(items: DataFrame, part: str | None = None, limit: int | None = None) -> DataFrame:
+    """(tag, items, automatic, total) from items(key, tags, auto_tags), by name: tags that have the part, case aside, how many items carry each,
+    whether none was given by a reader, and how many such tags there are."""
+    given = items.select("key", F.explode(F.array_distinct("tags")).alias("tag"), F.lit(False).alias("automatic"))
+    auto = items.select("key", F.explode(F.array_distinct("auto_tags")).alias("tag"), F.lit(True).alias("automatic"))
+    found = given.unionByName(auto).groupBy("tag").agg(F.count_distinct("key").alias("items"), F.bool_and("automatic").alias("automatic"))
+    found = found.filter(F.lower("tag").contains(part.lower())) if part else found
+    total = found.agg(F.count("*").alias("total"))
+    out = found.orderBy("tag")
+    return (out.limit(limit) if limit else out).join(F.broadcast(total))  # total is one row
+
+
 def off_vocabulary(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Tags that the vocabulary(tag, tier) doesn't have."""
     return counts.join(vocabulary.select("tag"), "tag", "left_anti")

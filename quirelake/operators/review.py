@@ -138,6 +138,7 @@ FLOW = {
     "records_identified": "Records identified", "duplicates_removed": "Duplicate records removed", "records_screened": "Records screened (title and abstract)", "records_excluded": "Records excluded",
     "reports_sought": "Reports sought for retrieval", "reports_assessed": "Reports assessed for eligibility (full text)", "reports_excluded": "Reports excluded", "studies_included": "Studies included in review",
 }
+#: What is still open, by the number that says so.
 OPEN = {"records_awaiting": "record(s) still await title and abstract screening", "reports_awaiting": "report(s) still await full-text assessment", "duplicates_still": "duplicate record(s) are still in the collection"}
 
 

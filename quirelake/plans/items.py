@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import asof, incremental, items
+from ..operators import asof, graph, incremental, items
 from ..session import table
 
 
@@ -92,6 +92,31 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.tag_counts(_parts(spark, sf_dir))
 
 
+def tag_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 30 tags with an S of parts, words of the type given by readers, the brand and every fifth part's first word by itself."""
+    p = table(spark, sf_dir, "part")
+    words = F.split("p_type", " ")
+    own = p.select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 2 == 0, words).otherwise(F.array().cast("array<string>")).alias("tags"), F.array(F.col("p_brand"), F.when(F.col("p_partkey") % 5 == 0, words[0]).otherwise(F.col("p_brand"))).alias("auto_tags"))
+    return items.tag_listing(own, "s", 30)
+
+
+def item_search_everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in two languages, trashed ones too, that have both words anywhere."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.lit("book").alias("itemType"), F.array("lang").alias("tags"), "text", F.col("lang").alias("title"), (F.col("doc_id") % 3 == 0).alias("deleted"))
+    found = items.search(d, tag=items.split_conjunction("-fr && de || es"), text="an es", everything=True, trashed=True)
+    return found.select("key", "deleted")
+
+
+def work_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight of the works that part 7's record names: its supplier's other parts."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    named = lines.groupBy("l_suppkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("parts"))
+    first = lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    works = table(spark, sf_dir, "part").join(first, F.col("p_partkey") == F.col("l_partkey")).join(named, "l_suppkey")
+    works = works.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array_remove("parts", F.col("p_partkey")).alias("related"))
+    return graph.related_of(works, 7, 8)
+
+
 def off_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit("metal").alias("tier")) for t in ("BRASS", "STEEL", "ECONOMY")])
     return items.off_vocabulary(items.tag_counts(_parts(spark, sf_dir)), spark.range(1).select(F.inline(known)))
@@ -145,7 +170,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (item_tags, item_quick_search, related_links, item_filter_page, boolean_tags, top_level_semi, deletion_diff, missing_tier, parent_chain, tag_counts, off_taxonomy, text_budget, page_offsets, last_heading_asof, events_after_orders, digest_filter_sort, csv_guard, html_text)}
+QUERIES = {f.__name__: f for f in (item_tags, item_quick_search, related_links, item_filter_page, boolean_tags, top_level_semi, deletion_diff, missing_tier, parent_chain, tag_counts, tag_listing, item_search_everything, work_related, off_taxonomy, text_budget, page_offsets, last_heading_asof, events_after_orders, digest_filter_sort, csv_guard, html_text)}
 
 _TAGS = "(SELECT p_partkey AS key, unnest(list_distinct(string_split(p_type, ' '))) AS tag FROM part)"
 _CSV = r"""CASE WHEN regexp_matches({0}, '^[=+@\t\r-]') AND NOT regexp_matches({0}, '^[+-](\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN '"''' || replace({0}, '"', '""') || '"'
@@ -176,6 +201,14 @@ ORACLE = {
         JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""",
     "tag_counts": f"SELECT tag, count(*) AS items FROM {_TAGS} GROUP BY 1",
+    "tag_listing": """WITH w AS (SELECT p_partkey AS key, unnest(string_split(p_type, ' ')) AS tag, false AS auto FROM part WHERE p_partkey % 2 = 0
+            UNION ALL SELECT p_partkey, p_brand, true FROM part UNION ALL SELECT p_partkey, string_split(p_type, ' ')[1], true FROM part WHERE p_partkey % 5 = 0),
+        f AS (SELECT tag, count(DISTINCT key) AS items, bool_and(auto) AS automatic, count(*) OVER () AS total FROM w WHERE contains(lower(tag), 's') GROUP BY tag)
+        SELECT tag, items, automatic, total FROM f ORDER BY tag LIMIT 30""",
+    "item_search_everything": "SELECT doc_id AS key, doc_id % 3 = 0 AS deleted FROM documents WHERE lang <> 'fr' AND lang IN ('de', 'es') AND contains(lower(concat_ws(chr(10), lang, text)), 'an') AND contains(lower(concat_ws(chr(10), lang, text)), 'es')",
+    "work_related": """WITH l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), o AS (SELECT min(s) AS s FROM l WHERE p = 7),
+        r AS (SELECT p AS related, row_number() OVER (ORDER BY p) - 1 AS place, count(*) OVER () AS total FROM l JOIN o USING (s) WHERE p <> 7)
+        SELECT place::INTEGER AS place, related, p_name AS title, total::INTEGER AS total FROM r LEFT JOIN part ON p_partkey = related WHERE place < 8""",
     "off_taxonomy": f"SELECT tag, count(*) AS items FROM {_TAGS} WHERE tag NOT IN ('BRASS', 'STEEL', 'ECONOMY') GROUP BY 1",
     "text_budget": """WITH b AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
             FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations))

@@ -66,3 +66,18 @@ def test_filter_language(spark):
     assert keys(tag="a || c") == [1, 2, 3]
     assert keys(tag="-a || b") == [1]
     assert keys(tag="a && b") == [2]
+
+
+def test_item_search(spark):
+    rows = [("A", "book", "On herons", "Smith", None, False), ("B", "book", "Lakes", "Lee", "herons live here", False), ("C", "note", "herons", None, None, True)]
+    df = spark.createDataFrame(rows, "key string, itemType string, title string, creators string, text string, deleted boolean").withColumn("tags", F.array(F.lit("x")))
+    found = lambda **k: {r["key"] for r in items.search(df, **k).collect()}
+    assert found(text="heron") == {"A"} and found(text="here heron", everything=True) == {"B"} and found(text="smith") == {"A"}
+    assert found(keys=["B", "C"]) == {"B"} and found(keys=["B", "C"], trashed=True) == {"B", "C"} and found(keys=[]) == set()
+    assert found(tag=items.split_conjunction("x && -y")) == {"A", "B"} and found(tag=items.split_conjunction("x && y")) == set()
+
+
+def test_field_twins(spark):
+    pairs = {("sampleSize", "sample sizes"): True, ("n", "number"): True, ("sample size", "size of sample"): True, ("outcome", "method"): False, ("HTMLText", "text"): False, ("", "a"): True}
+    for (a, b), same in pairs.items():
+        assert value(spark, tx.is_twin(F.lit(a), F.lit(b))) == same, (a, b)
