@@ -7,6 +7,7 @@ import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -110,12 +111,26 @@ def refresh(index: Index, path: str, changed: DataFrame, gone: DataFrame) -> Ind
     return Index(index.spark, path)
 
 
+def files_state(spark: SparkSession, files: list[str]) -> str:
+    """A digest of the files' places, sizes and times, from listings of their folders; no file is read."""
+    folders: dict[str, set[str]] = {}
+    for f in files:
+        folder, _, name = f.rpartition("/")
+        folders.setdefault(folder, set()).add(unquote(name))
+    out = hashlib.sha256()
+    for folder, names in sorted(folders.items()):
+        at = spark._jvm.org.apache.hadoop.fs.Path(unquote(folder))
+        found = [s for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if s.getPath().getName() in names]
+        for line in sorted(f"{folder}|{s.getPath().getName()}|{s.getLen()}|{s.getModificationTime()}" for s in found):
+            out.update(f"{line}\n".encode())
+    return out.hexdigest()
+
+
 def kept(name: str, source: DataFrame, make: Callable[[str], Index]) -> Index:
     """The index called name of a table in its present files, made if there is none in the shared folder yet."""
     spark = source.sparkSession
-    files = source.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    state = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *files.columns))), "\n"), 256)).first()[0]
-    path = f"{shared_dir(spark)}/quirelake/index-{FORMAT}-{name}-{hashlib.sha256((state or '').encode()).hexdigest()[:16]}"
+    state = files_state(spark, source.inputFiles())
+    path = f"{shared_dir(spark)}/quirelake/index-{FORMAT}-{name}-{state[:16]}"
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ready")
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return Index(spark, path)
