@@ -81,3 +81,22 @@ def test_field_twins(spark):
     pairs = {("sampleSize", "sample sizes"): True, ("n", "number"): True, ("sample size", "size of sample"): True, ("outcome", "method"): False, ("HTMLText", "text"): False, ("", "a"): True}
     for (a, b), same in pairs.items():
         assert value(spark, tx.is_twin(F.lit(a), F.lit(b))) == same, (a, b)
+
+
+def test_markdown(spark):
+    from quirelake.functions.markdown import note_html
+
+    cases = {
+        "# One\n\n## Two ##\nText *here*.\n\n---\n\nMore.": "<h1>One</h1>\n<h2>Two</h2>\n<p>Text <em>here</em>.</p>\n<hr>\n<p>More.</p>",
+        "- a\n- **b** c\n\n1. x\n2) y": "<ul>\n<li>a</li>\n<li><strong>b</strong> c</li>\n</ul>\n<ol>\n<li>x</li>\n<li>y</li>\n</ol>",
+        "> quoted **here**\n> and on\n\nafter": "<blockquote>\n<p>quoted <strong>here</strong>\nand on</p>\n</blockquote>\n<p>after</p>",
+        "```ts\nif (a < b && c) {}\n\n  *x*\n```\nend": "<pre>if (a &lt; b &amp;&amp; c) {}\n\n  *x*</pre>\n<p>end</p>",
+        "```\nnever closed": "<pre>never closed</pre>",
+        "**b** *i* `c*d*` ~~s~~ [l](https://x.org/a_b_c) snake_case_name": '<p><strong>b</strong> <em>i</em> <code>c*d*</code> <span style="text-decoration: line-through">s</span> <a href="https://x.org/a_b_c">l</a> snake_case_name</p>',
+        "<b>x</b> & [click](javascript:alert) \\*not em\\* a * b * c": "<p>&lt;b&gt;x&lt;/b&gt; &amp; click *not em* a * b * c</p>",
+        "one  \ntwo\nthree": "<p>one<br>two\nthree</p>",
+        "": "", "\n\n": "",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "md string")
+    got = {r["md"]: r["h"] for r in df.select("md", note_html(F.col("md")).alias("h")).collect()}
+    assert {k: got[k] for k, v in cases.items() if v is not None} == {k: v for k, v in cases.items() if v is not None}
