@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .text import let
 
 #: Schemes that a link may have, and how struck-out text is written.
-SCHEMES = r"(?i)^(?:https?|mailto|ftp|zotero):"
+SCHEMES = r"(?i)^(?:https?|mailto|ftp):"
 STRUCK = ('<span style="text-decoration: line-through">', "</span>")
 #: Characters that a backslash takes their meaning from, and what stands for them until the marks are read.
 ESCAPED = "*_~"
