@@ -115,7 +115,7 @@ def composed(c: Column, keep: str = "") -> Column:
 
     plain = F.translate(c, "".join(single), "".join(single.values()))
     pieces = F.regexp_extract_all(plain, F.lit(piece), F.lit(0))
-    slow = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(rf"^(?:{syllable})$"), hangul(x)).when(x.rlike(r"^[A-Za-z][\x{300}-\x{36F}]$"), F.coalesce(join(F.left(x, F.lit(1)), F.right(x, F.lit(1))), x)).when(x.rlike(rf"(?s)^(?:.{joins}+|{odd})$"), compose(x)).otherwise(x)), "")
+    slow = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(rf"^(?:{syllable})$"), hangul(x)).when(x.rlike(r"^[A-Za-z][\x{300}-\x{343}\x{345}-\x{36F}]$"), F.coalesce(join(F.left(x, F.lit(1)), F.right(x, F.lit(1))), x)).when(x.rlike(rf"(?s)^(?:.{joins}+|{odd})$"), compose(x)).otherwise(x)), "")
     return F.when(plain.rlike(rf"{joins}|{odd}|[ᅡ-ᅵᆨ-ᇂ]"), slow).otherwise(plain)
 
 

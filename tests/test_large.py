@@ -112,17 +112,17 @@ def test_identifiers(spark):
 def test_build_in_steps(spark, sf_dir, tmp_path):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     plan, path = {"embedder": "none", "backend": "tables", "total": 200, "version": 1}, f"{tmp_path}/stepped"
-    index, read = upkeep.build_in_steps(docs, path, plan, steps=4, most=3)
+    index, read = upkeep.build_in_steps(docs, path, plan, steps=2, most=1)
     assert index is None and 0 < read < docs.count()
-    index, rest = upkeep.build_in_steps(docs, path, plan, steps=4)
+    index, rest = upkeep.build_in_steps(docs, path, plan, steps=2)
     assert read + rest == docs.count()  # what was kept isn't read again
     fresh = retrieval.build(docs, f"{tmp_path}/fresh")
     for name in ("terms", "lengths", "facts"):
         assert same_rows(fresh.read(name), index.read(name))
-    index, read = upkeep.build_in_steps(docs, f"{tmp_path}/other", plan, steps=3, most=1)
-    assert upkeep.build_in_steps(docs, f"{tmp_path}/other", plan | {"version": 2}, steps=3)[1] == docs.count()
+    index, read = upkeep.build_in_steps(docs, f"{tmp_path}/other", plan, steps=2, most=1)
+    assert upkeep.build_in_steps(docs, f"{tmp_path}/other", plan | {"version": 2}, steps=2)[1] == docs.count()
     with pytest.raises(ValueError):
-        upkeep.build_in_steps(docs, f"{tmp_path}/other", plan | {"embedder": "x"}, steps=3)
+        upkeep.build_in_steps(docs, f"{tmp_path}/other", plan | {"embedder": "x"}, steps=2)
 
 
 def test_merged_statistics(spark, sf_dir, tmp_path):

@@ -1,8 +1,11 @@
 """Bibliographies and books, on literals."""
 
 import io
+import random
+import re
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quirelake.functions import chunks
@@ -88,18 +91,46 @@ def test_epub(spark):
     assert {r["path"]: r["text"] for r in epub.read(files).collect()} == {"x": "First & foremost\n\nSecond", "y": ""}
 
 
-def test_passages():
+def plain_passages(text, size, overlap, words):
+    """Passages one by one: the end at the last blank of the second half, the next begin overlap before it."""
+    out, at = [], 0
+    while at < len(text):
+        if words:
+            while at < len(text) and text[at].isspace():
+                at += 1
+            if 0 < at < len(text) and not text[at - 1].isspace():
+                rest = at + len(re.match(r"\S+\s*", text[at:])[0])
+                at = rest if rest < len(text) and rest - at < size else at
+            if at >= len(text):
+                break
+        end = min(at + size, len(text))
+        blanks = [k for k in range(at, end + 1) if k < len(text) and text[k].isspace() and k > at + size / 2] if end < len(text) else []
+        end = blanks[-1] if blanks else end
+        said = text[at:end].rstrip() if words else text[at:end].strip()
+        out.append({"index": len(out), "text": said} | ({"start": at, "end": at + len(said)} if words else {}))
+        at = len(text) if end == len(text) else max(end - overlap, at + 1)
+    return out
+
+
+def test_passages(spark):
     text = "one two three\nfour  five sixsix seven " * 40
     whole = " ".join(text.split())
-    parts = chunks.cut(whole, 100, 20)
+    cut = lambda t, size, overlap, words: chunks._listed(pa.array([t]), size, overlap, words).to_pylist()[0]
+    parts = cut(whole, 100, 20, False)
     assert all(len(p["text"]) <= 100 and p["text"] in whole for p in parts) and parts[-1]["text"].endswith("seven")
-    placed = chunks.cut_in_place(text, 100, 20)
+    placed = cut(text, 100, 20, True)
     assert all(text[p["start"] : p["end"]] == p["text"] for p in placed)
     assert all(p["start"] == 0 or text[p["start"] - 1].isspace() for p in placed)
     covered = set().union(*(range(p["start"], p["end"]) for p in placed))
     assert all(text[k].isspace() for k in range(len(text)) if k not in covered)
-    assert chunks.cut_in_place("x" * 950, 400, 50)[-1]["end"] == 950
-    s = chunks.around("word " * 100 + "théorie des jeux " + "more " * 100, frozenset(["theorie"]), 60)
+    assert cut("x" * 950, 400, 50, True)[-1]["end"] == 950
+    r = random.Random(1)
+    texts = [None, "", " ", *["".join(r.choice([" ", "\n", *"abé漢😀" * 4]) for _ in range(r.randint(0, 200))) for _ in range(100)]]
+    for size, overlap in ((5, 2), (20, 5), (50, 60), (800, 100), (1, 0)):
+        for words in (True, False):
+            some = [t if words or t is None else " ".join(t.split()) for t in texts]
+            assert chunks._listed(pa.array(some), size, overlap, words).to_pylist() == [plain_passages(t or "", size, overlap, words) for t in some]
+    s = spark.range(1).select(chunks.snippet(F.lit("word " * 100 + "théorie des jeux " + "more " * 100), ["theorie"], 60).alias("s")).first()["s"]
     assert "théorie" in s and s.startswith("… ") and s.endswith(" …")
 
 
