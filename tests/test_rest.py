@@ -125,3 +125,11 @@ def test_title_matches_against_all_pairs(spark):
         want |= tiers["doi"] or tiers["title"]
     got = [(r["candidate"], r["key"], r["caveat"]) for r in dedupe.matches(rows, rows).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_equal_scores_stay_equal(spark):
+    """10 of 115 words and 4 of 28 have one score where a passage has 90 on the average; the smaller id comes first."""
+    counts = [(2, 27), (6, 133), (3, 21), (10, 115), (4, 28), (20, 282), (0, 24)]
+    c = spark.createDataFrame([(1, k, "the " * n + "word " * (m - n)) for k, (n, m) in enumerate(counts)], "doc long, id long, text string")
+    ranked = retrieval.rank_within(c, "the", 3).orderBy("rank").collect()
+    assert [r["id"] for r in ranked] == [3, 4, 5] and ranked[0]["score"] == ranked[1]["score"]
