@@ -147,3 +147,15 @@ def test_passages_cut_in_slices():
     chunks._sliced(whole, 512, 64, True)
     assert tracemalloc.get_traced_memory()[1] < 12 * whole.nbytes
     tracemalloc.stop()
+
+
+def test_doi_links_give_the_groups_of_the_matches(spark):
+    """The same groups from one link a row, whatever rows are candidates, library or both; a row alone has none."""
+    r = random.Random(5)
+    schema = "key int, itemType string, title string, title_key string, doi string, isbns array<string>, year string, surnames array<string>"
+    rows = spark.createDataFrame([(k, "book", None, None, r.choice(["a", "b", "c", "d", None]) if k < 40 else f"x{k // 2}", [], None, []) for k in range(60)], schema)
+    c, e = rows.filter("key % 3 < 2 and key <> 58"), rows.filter("key % 5 > 0")
+    items = rows.selectExpr("key", "0 as numChildren", "'2000' as dateAdded")
+    linked = dedupe.doi_links(c, e)
+    of = lambda found: sorted(map(tuple, dedupe.groups(found, items).collect()))
+    assert of(linked) == of(dedupe.matches(c, e)) and linked.count() < rows.count()
