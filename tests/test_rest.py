@@ -159,3 +159,15 @@ def test_doi_links_give_the_groups_of_the_matches(spark):
     linked = dedupe.doi_links(c, e)
     of = lambda found: sorted(map(tuple, dedupe.groups(found, items).collect()))
     assert of(linked) == of(dedupe.matches(c, e)) and linked.count() < rows.count()
+
+
+def test_link_counts_are_those_of_the_matches(spark):
+    """As many links a row as matches() gives pairs, by DOI, ISBN and title, with rows in one table or both."""
+    r = random.Random(7)
+    schema = "key int, itemType string, title string, title_key string, doi string, isbns array<string>, year string, surnames array<string>"
+    pick = lambda: (r.choice(["book", "bookSection"]), "t", r.choice(["on", "on the rivers of", None]), r.choice([None, None, "a", "b"]), r.sample(["1", "2", "3"], r.choice([0, 0, 1, 2])), r.choice([None, "1999", "2000", "2002"]), r.sample(["lee", "ng"], r.randrange(3)))
+    rows = spark.createDataFrame([(k, *pick()) for k in range(150)], schema)
+    c, e = rows.filter("key % 3 < 2"), rows.filter("key % 4 > 0")
+    want = dedupe.matches(c, e).groupBy("candidate", "tier").agg(F.count("*").alias("links"), F.count("caveat").alias("caveats"))
+    got = dedupe.link_counts(c, e).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
