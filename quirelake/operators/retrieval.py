@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import accent_key, tokens
+from ..functions.text import accent_key, let, tokens
 from ..functions.vectors import codes, cosines, distances, matrix
 from .components import shared_dir, staged
 
@@ -32,10 +32,29 @@ PARTS = 64
 FEW = 5_000
 
 
+def counted(passages: DataFrame) -> DataFrame:
+    """(id, length, terms) of every passage, terms being its distinct ones as (term, tf). They are counted within the row: sorted words
+    are cut where one differs from the word before it, so no word of a text is a row before it is counted."""
+
+    def runs(t: Column) -> Column:
+        starts = F.array_compact(F.transform(t, lambda x, k: F.when((k == 0) | (x != F.get(t, k - 1)), k)))
+        return let(starts, lambda s: F.transform(s, lambda at, k: F.struct(F.get(t, at).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t)) - at).cast("long").alias("tf"))))
+
+    own = let(F.sort_array(tokens(F.col("text"))), lambda t: F.struct(F.size(t).alias("length"), runs(t).alias("terms")))
+    return passages.select("id", own.alias("c")).select("id", "c.length", "c.terms")
+
+
+def spread(counts: DataFrame) -> DataFrame:
+    """(id, length, term, tf) of counted passages; passages of one id and length count as one, and are only gathered if there are any."""
+    rows = counts.select("id", "length", F.inline("terms"))
+    if counts.groupBy("id", "length").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return rows
+    return rows.groupBy("id", "length", "term").agg(F.sum("tf").alias("tf"))
+
+
 def postings(passages: DataFrame) -> DataFrame:
     """(id, length, term, tf) of every passage with a term."""
-    own = passages.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return own.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    return spread(staged(counted(passages), "counted"))
 
 
 @dataclass(frozen=True)
@@ -73,20 +92,17 @@ def _write_postings(post: DataFrame, path: str) -> None:
 
 def build(passages: DataFrame, path: str, vectors: DataFrame | None = None) -> Index:
     """Index passages and vectors under a path that must not exist."""
-    write_from(postings(passages), passages.select("id"), path)
+    write_from(staged(counted(passages), "counted"), path)
     if vectors is not None:
         _write_vectors(vectors, path)
     return Index(passages.sparkSession, path)
 
 
-def write_from(post: DataFrame, ids: DataFrame, path: str) -> None:
-    """The tables of a keyword index under path, from the postings and the ids of all passages."""
-    spark = ids.sparkSession
-    _write_postings(post, path)
-    #: The texts are split into words once; passages without any come from the ids alone.
-    own = Index(spark, path).read("postings").groupBy("id").agg(F.first("length").alias("length"))
-    ids.join(own, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length")).write.parquet(f"{path}/lengths")
-    _write_terms(spark, path)
+def write_from(counts: DataFrame, path: str) -> None:
+    """The tables of a keyword index under path, from counted passages that are kept."""
+    _write_postings(spread(counts), path)
+    counts.select("id", "length").write.parquet(f"{path}/lengths")
+    _write_terms(counts.sparkSession, path)
 
 
 def build_vectors(vectors: DataFrame, path: str) -> Index:
@@ -104,9 +120,9 @@ def counts(index: Index, sources: DataFrame) -> DataFrame:
 def refresh(index: Index, path: str, changed: DataFrame, gone: DataFrame) -> Index:
     """A new index under path with the changed passages replaced whole and the gone ids left out; vectors stay as they are."""
     out = staged(changed.select("id").union(gone.select("id")).distinct(), "out")
-    new = changed.join(gone.select("id"), "id", "left_anti")
-    index.read("lengths").join(out, "id", "left_anti").unionByName(new.select("id", F.size(tokens(F.col("text"))).alias("length"))).write.parquet(f"{path}/lengths")
-    _write_postings(index.read("postings").drop("part").join(out, "id", "left_anti").unionByName(postings(new)), path)
+    new = staged(counted(changed.join(gone.select("id"), "id", "left_anti")), "counted")
+    index.read("lengths").join(out, "id", "left_anti").unionByName(new.select("id", "length")).write.parquet(f"{path}/lengths")
+    _write_postings(index.read("postings").drop("part").join(out, "id", "left_anti").unionByName(spread(new)), path)
     _write_terms(index.spark, path)
     return Index(index.spark, path)
 

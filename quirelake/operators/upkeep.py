@@ -13,7 +13,7 @@ from ..functions.text import accent_key
 from . import retrieval
 from .components import staged
 from .incremental import drifted, resume_at
-from .retrieval import Index, coded, postings
+from .retrieval import Index, coded, counted, postings
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -47,14 +47,12 @@ def build_in_steps(passages: DataFrame, path: str, plan: dict, steps: int = 16,
     todo = [k for k in range(steps) if k not in kept]
     for k in todo[:most]:
         part = own.filter(F.col("_step") == k).drop("_step")
-        postings(part).write.mode("overwrite").parquet(f"{here}/step-{k}/postings")
-        part.select("id").write.mode("overwrite").parquet(f"{here}/step-{k}/ids")
-        read += spark.read.parquet(f"{here}/step-{k}/ids").count()
+        counted(part).write.mode("overwrite").parquet(f"{here}/step-{k}/counted")
+        read += spark.read.parquet(f"{here}/step-{k}/counted").count()
         spark.range(1).write.mode("overwrite").parquet(f"{here}/step-{k}/done")
     if most is not None and len(todo) > most:
         return None, read
-    whole = lambda name: reduce(DataFrame.unionByName, [spark.read.parquet(f"{here}/step-{k}/{name}") for k in range(steps)])
-    retrieval.write_from(whole("postings"), whole("ids"), path)
+    retrieval.write_from(reduce(DataFrame.unionByName, [spark.read.parquet(f"{here}/step-{k}/counted") for k in range(steps)]), path)
     return Index(spark, path), read
 
 
