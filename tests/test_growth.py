@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import text as tx
 from quirelake.operators import retrieval
+from quirelake.operators.components import components
+from quirelake.plans import library
 
 
 def plan(df):
@@ -29,3 +31,19 @@ def test_terms_are_counted_in_their_row(spark):
 
 def tx_words(spark, text):
     return spark.range(1).select(tx.tokens(F.lit(text).cast("string")).alias("t")).first()["t"]
+
+
+def test_title_keys_take_one_pass(spark):
+    texts = ["", " ", " ", "A  b", "Élève —x́ ", "a​b", "𝒳 y\U0001f600z", "x_y\n\t-　Z", "…", None, "ﬁ 1½2", " a﻿b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.nullif(tx.squash(F.regexp_replace(F.lower(tx.fold(F.col("t"))), rf"[^\p{{L}}\p{{N}}{tx.SPACES}]", " ")), F.lit(""))
+    both = df.select(tx.title_key(F.col("t")).alias("key"), plain.alias("plain"))
+    assert all(r["key"] == r["plain"] for r in both.collect())
+    assert plan(df.select(tx.title_key(F.col("t")).alias("key"))).count("regexp_replace") < plan(df.select(plain.alias("key"))).count("regexp_replace")
+
+
+def test_duplicate_texts_are_read_once(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(library.components, "components", lambda pairs: seen.append(plan(pairs)) or components(pairs))
+    library.dup_components(spark, sf_dir)
+    assert "documents.parquet" not in seen[0]
