@@ -109,11 +109,15 @@ def symmetric(links: DataFrame) -> DataFrame:
 
 
 def to_top(child: DataFrame, parents: DataFrame, hops: int = 3) -> DataFrame:
-    """child(key, parentItem) with its top-level ancestor; parents: the same table or a superset."""
+    """child(key, parentItem) with its top-level ancestor; parents: the same table or a superset.
+
+    A row that has come to its top has nothing more to look for; these are spread by their own keys, so they don't meet in one task.
+    """
     out = child.withColumn("top", F.coalesce("parentItem", "key")).withColumn("_up", F.col("parentItem"))
-    up = parents.select(F.col("key").alias("_k"), F.col("parentItem").alias("_p"))
+    up = parents.filter("parentItem is not null").select(F.col("key").alias("_k"), F.col("parentItem").alias("_p"), (F.xxhash64("key") % 1).alias("_z"))
     for _ in range(hops - 1):
-        out = out.join(up, F.col("_up") == F.col("_k"), "left").withColumn("_up", F.col("_p")).withColumn("top", F.coalesce("_up", "top")).drop("_k", "_p")
+        out = out.withColumn("_done", F.when(F.col("_up").isNull(), F.xxhash64("key").bitwiseOR(1)).otherwise(0))
+        out = out.join(up, (F.col("_up") == F.col("_k")) & (F.col("_done") == F.col("_z")), "left").withColumn("_up", F.col("_p")).withColumn("top", F.coalesce("_up", "top")).drop("_k", "_p", "_z", "_done")
     return out.drop("_up")
 
 
