@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import tasks
+
 
 def mark_in_library(works: DataFrame, library: DataFrame) -> DataFrame:
     """works with the library key of the same DOI (of several the first by ord) and whether there is one."""
@@ -28,9 +30,10 @@ def citation_pairs(items: DataFrame, works: DataFrame) -> DataFrame:
 
 def co_occurrence(rows: DataFrame, group: str, member: str, least: int = 2) -> DataFrame:
     """(a, b, n): members that are together in least groups or more; a group is a short list such as a work's references."""
-    x = rows.select(F.col(group).alias("g"), F.col(member).alias("a")).distinct()
-    y = x.select("g", F.col("a").alias("b"))
-    return x.join(y, "g").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    n = tasks(rows)
+    lists = rows.filter(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(member).alias("m")).repartition(n, "g").groupBy("g").agg(F.sort_array(F.collect_set("m")).alias("all"))
+    each = lists.select("all", F.posexplode("all").alias("k", "a")).select("a", F.explode(F.slice("all", F.col("k") + 2, F.size("all"))).alias("b"))
+    return each.repartition(n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def cited_by(edges: DataFrame, works: DataFrame, n: int) -> DataFrame:
