@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import asof, graph, incremental, items
+from ..operators import asof, components, graph, incremental, items
 from ..session import table
 
 
@@ -145,7 +145,9 @@ def last_heading_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_after_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each line the customer's last order of a high price at or before its ship date, within 200 days."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust"), "o_orderkey", "o_totalprice", F.unix_date(F.to_date("o_orderdate")).alias("day"))
-    lines = table(spark, sf_dir, "lineitem").join(o.select("o_orderkey", "cust"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "cust", F.unix_date(F.to_date("l_shipdate")).alias("day"))
+    own = table(spark, sf_dir, "lineitem")
+    n = components.tasks(own)
+    lines = own.select("l_orderkey", "l_linenumber", "l_shipdate").repartition(n, "l_orderkey").join(o.select("o_orderkey", "cust").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "cust", F.unix_date(F.to_date("l_shipdate")).alias("day"))
     marks = o.filter("o_totalprice > 200000").groupBy("cust", "day").agg(F.max("o_orderkey").alias("o_orderkey"))
     out = asof.last_before(lines, marks, "cust", "day", within=200)
     return out.select("l_orderkey", "l_linenumber", F.col("mark.o_orderkey").alias("last_order"))

@@ -1,13 +1,19 @@
 """Steps whose cost has to follow the input: what they give is held against plain versions, and what they shuffle against their plans."""
 
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as tx
-from quirelake.operators import retrieval
+from quirelake.functions.vectors import cosines
+from quirelake.operators import components as shared
+from quirelake.operators import graph, items, retrieval
+from quirelake.operators.asof import last_before
 from quirelake.operators.components import components
-from quirelake.plans import library
+from quirelake.plans import items as plans_items
+from quirelake.plans import library, listing, scholarly
 
 
 def plan(df):
@@ -47,3 +53,60 @@ def test_duplicate_texts_are_read_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(library.components, "components", lambda pairs: seen.append(plan(pairs)) or components(pairs))
     library.dup_components(spark, sf_dir)
     assert "documents.parquet" not in seen[0]
+
+
+def test_rows_at_their_top_are_spread(spark):
+    rows = [(k, None if k < 5 else k % 5 if k < 3000 else k - 2990) for k in range(4000)]
+    own = spark.createDataFrame(rows, "key long, parentItem long")
+    up, conf = dict(rows), {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = items.to_top(own.filter("parentItem is not null"), own).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+    def top(k):
+        for _ in range(3):
+            k = up[k] if up[k] is not None else k
+        return k
+
+    assert {r["key"]: r["top"] for r in got} == {k: top(k) for k, p in rows if p is not None}
+    assert max(Counter(r["p"] for r in got).values()) < len(got) / 2
+
+
+def test_pairs_of_a_group_take_no_join(spark):
+    rows = [(k % 7, k * k % 11) for k in range(60)] + [(None, 1), (None, 2), (1, None), (2, 3), (2, 3)]
+    groups = {g: {m for h, m in rows if h == g and m is not None} for g, _ in rows if g is not None}
+    want = Counter((a, b) for own in groups.values() for a in own for b in own if a < b)
+    got = graph.co_occurrence(spark.createDataFrame(rows, "g long, m long"), "g", "m", least=2)
+    assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == {p: n for p, n in want.items() if n >= 2}
+    assert "Join" not in plan(got)
+
+
+def test_more_rows_take_more_tasks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    assert shared.tasks(spark.range(10_000)) == 20 and shared.tasks(spark.range(10)) == 4
+    seen = []
+    monkeypatch.setattr(plans_items.asof, "last_before", lambda lines, marks, *a, **k: seen.append(plan(lines)) or last_before(lines, marks, *a, **k))
+    plans_items.events_after_orders(spark, sf_dir)
+    assert "REPARTITION_BY_NUM" in seen[0]
+
+
+def test_parts_are_dealt_to_all_tasks(spark, sf_dir):
+    assert all("REPARTITION_BY_NUM" in plan(q(spark, sf_dir)) for q in (scholarly.text_keys, listing.identifiers_in_text))
+
+
+def test_scores_are_held_for_some_queries_at_a_time():
+    r = np.random.default_rng(3)
+    rows, queries = r.normal(size=(4000, 8)), r.normal(size=(1000, 8))
+    ids, asked = np.arange(4000), list(range(1000))
+    tracemalloc.start()
+    got = [b.to_pydict() for b in retrieval._best_of(rows, queries, ids, asked, 3, 6)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = retrieval._best(cosines(rows, queries), ids, asked, 3, 6).to_pydict()
+    assert peak < rows.shape[0] * queries.shape[0] * 8 / 2
+    assert [x for b in got for x in b["query"]] == whole["query"] and [x for b in got for x in b["id"]] == whole["id"]
