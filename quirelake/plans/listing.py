@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import extraction, identifiers, incremental, items, library, retrieval, review
+from ..operators import components, extraction, identifiers, incremental, items, library, retrieval, review
 from ..session import table
 from ..sources import bibliography, bibtex
 from .retrieval import _scores, document_index
@@ -229,11 +229,12 @@ def extraction_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identifiers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best occurrence of every DOI and arXiv id in pages, documents, and a sentence made of each part."""
+    """The best occurrence of every DOI and arXiv id in pages, documents, and a sentence made of each part; parts are dealt to all tasks."""
+    p = table(spark, sf_dir, "part")
     n = F.col("p_partkey").cast("string")
     made = F.concat(F.lit("As shown (doi: 10.1234/p."), n, F.lit("), and in 10.5555/Q"), (F.col("p_partkey") % 50).cast("string"), F.lit("; see arXiv:2101."), F.lpad((F.col("p_partkey") % 700).cast("string"), 5, "0"), F.lit("v2."))
     texts = [
-        table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.lit(1).alias("page"), made.alias("text")),
+        p.select("p_partkey").repartition(components.tasks(p), "p_partkey").select(F.col("p_partkey").alias("doc"), F.lit(1).alias("page"), made.alias("text")),
         table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.lit(2).alias("page"), F.col("html").alias("text")),
         table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(3).alias("page"), "text"),
     ]
