@@ -24,6 +24,8 @@ HIGH_DF, PRUNE_FROM, MOST_VARIANTS = 0.3, 100, 24
 RRF_K, POOL_FACTOR, CODE_POOL, LEAST_POOL = 60, 3, 16, 500
 #: Queries that one scan answers, queries by which the pool is measured, and the share of neighbours it has to hold.
 QUERY_BLOCK, MEASURED, RECALL = 1024, 64, 0.97
+#: Queries of a block whose scores of a batch of rows are held at once.
+QUERY_SLICE = 64
 #: Counts changes of what an index holds; one kept under another number is not read.
 FORMAT = 2
 #: Folders that the postings are dealt to by term.
@@ -243,6 +245,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, asked: list[int], k: int, digits:
     return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2])], names=["query", "id", "score"])
 
 
+def _best_of(rows: np.ndarray, queries: np.ndarray, ids: np.ndarray, asked: list[int], k: int, digits: int) -> Iterator[pa.RecordBatch]:
+    """_best() of the cosines, for QUERY_SLICE queries at a time: only their scores of the rows are held."""
+    for at in range(0, len(asked), QUERY_SLICE):
+        yield _best(cosines(rows, queries[at : at + QUERY_SLICE]), ids, asked[at : at + QUERY_SLICE], k, digits)
+
+
 HIT = "query long, id long, score double"
 
 
@@ -253,7 +261,7 @@ def scored_batches(vectors: DataFrame, asked: list[int], queries: np.ndarray, k:
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-                yield _best(cosines(matrix(batch.column("vector"), queries.shape[1]), queries), ids, asked, k, digits)
+                yield from _best_of(matrix(batch.column("vector"), queries.shape[1]), queries, ids, asked, k, digits)
 
     return vectors.filter("id is not null").select("id", "vector").mapInArrow(run, HIT)
 
