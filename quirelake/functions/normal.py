@@ -72,12 +72,13 @@ def composed(c: Column, keep: str = "") -> Column:
     joins = rf"[\p{{M}}{second}]"
     odd = among("".join(several)) if several else "(?!)"
     syllable = "[ᄀ-ᄒ][ᅡ-ᅵ][ᆨ-ᇂ]?|[가-힣][ᆨ-ᇂ]"
-    piece = rf"(?s){syllable}|.{joins}+|{odd}|(?:(?!.{joins}|{odd}|{syllable}).)+"
+    #: Latin-1 letters are passed over at once, up to one that a mark follows; no other alternative begins with them.
+    piece = rf"(?s)[\x{{0}}-\x{{FF}}]+(?!{joins})|{syllable}|.{joins}+|{odd}|(?:(?!.{joins}|{odd}|{syllable}).)+"
 
     def join(first: Column, mark: Column) -> Column:
         """The composed form, or null."""
         out = F.lit(None).cast("string")
-        for m, (before, made) in pairs.items():
+        for m, (before, made) in sorted(pairs.items(), reverse=True):  # the last one is asked first: marks of Latin letters
             out = F.when(mark == m, F.when((first != "") & (F.instr(F.lit(before), first) > 0), F.translate(first, before, made))).otherwise(out)
         return out
 
