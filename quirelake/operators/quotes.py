@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import found_in_order, let, match_key, place, quote_key, segments, similarity
-from .components import staged
+from .components import TASK_ROWS, staged
 
 #: Similarity of a close match, share of a quotation's words that must meet, starts that are tried, words more or less.
 CLOSE, SHARE, STARTS, SLACK = 0.85, 0.3, 10, [0, -2, -1, 1, 2]
+#: Votes that a place needs of the rarer words.
+SURE = 3
 #: Words of a run, and characters of one where a quotation has no whole word that is sure.
 RUN, LETTERS = 3, 8
 #: What quotations have of words or runs is broadcast only up to this number.
@@ -84,25 +86,39 @@ def close_matches(quotes: DataFrame, docs: DataFrame, least: float = CLOSE) -> D
     """(quote, doc, start, end, similarity): in each document the window that is most like a quotation, and its place in the text.
 
     Each word that both have at one distance votes for the place where the window would begin. A window needs the votes of SHARE of the
-    quotation's words. Of these half may come from the commonest ones, so without those it still has the other half: only the rarer
-    words are looked up, and all votes are counted where these suffice. The STARTS best places are compared by edit distance, with
-    windows of about the quotation's number of words.
+    quotation's words. All but SURE of these, or half where that is more, may come from the commonest ones, so without those it still has
+    the others: only the rarer words are looked up, and all votes are counted where these suffice. A document's votes are counted in the
+    task that has it. The STARTS best places are compared by edit distance, with windows of about the quotation's number of words.
     """
     q = quotes.select("quote", F.array_join(segments(F.col("text")), " ").alias("key")).filter("key <> ''").withColumn("words", _words(F.col("key")))
     q = staged(q.withColumns({"n": F.size("words"), "need": F.greatest(F.lit(2), F.floor(F.size("words") * SHARE)).cast("int")}), "quotes")
     asked = q.select("quote", "n", "need", F.posexplode("words").alias("qi", "word"))
-    spread = docs.select("doc", F.posexplode(_words(match_key(F.col("text")))).alias("p", "word"))
-    counts = spread.join(_few(asked.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("df"))
+    counts = _spread(docs).join(_few(asked.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("df"))
     rare = F.row_number().over(Window.partitionBy("quote").orderBy(F.coalesce("df", F.lit(0)), "qi"))
-    seeds = staged(asked.join(counts, "word", "left").withColumn("k", rare).filter("k <= n - (need - 1) div 2").select("quote", "qi", "word", (F.col("need") - F.expr("(need - 1) div 2")).alias("sure")), "seeds")
-    posted = spread.join(_few(seeds.select("word").distinct()), "word")
-    begins = posted.join(seeds, "word").filter("p >= qi").groupBy("quote", "doc", (F.col("p") - F.col("qi")).alias("start")).agg(F.count("*").alias("votes"), F.first("sure").alias("sure"))
-    begins = begins.filter("votes >= sure").groupBy("quote", "doc").agg(F.collect_list("start").alias("starts"))
+    left_out = F.greatest(F.expr("(need - 1) div 2"), F.col("need") - SURE)
+    kept = asked.join(counts, "word", "left").withColumn("k", rare).withColumn("out", left_out).filter("k <= n - out")
+    seeds = staged(kept.select("quote", "qi", "word", (F.col("need") - F.col("out")).alias("sure"), "df"), "seeds")
+    begins = _begins(docs, seeds).groupBy("quote", "doc").agg(F.collect_list("start").alias("starts"))
     both = begins.join(q, "quote").join(docs.select("doc", "text"), "doc")
     window = let(_words(match_key(F.col("text"))), lambda held: let(_window(held), lambda w: F.when(w["similarity"] >= least, _placed(held, w))))
     return both.select("quote", "doc", F.explode(F.array_compact(F.array(window))).alias("w")).select("quote", "doc", "w.*")
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """(doc, p, word): the words of each document's key by their number."""
+    return docs.select("doc", F.posexplode(_words(match_key(F.col("text")))).alias("p", "word"))
+
+
+def _begins(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(quote, doc, start): places with votes enough of seeds (quote, qi, word, sure, df). Documents are dealt to tasks by the
+    number of votes, which count them without another shuffle."""
+    votes = seeds.agg(F.sum("df")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), votes // TASK_ROWS)
+    posted = _spread(docs.repartition(parts, "doc")).join(_few(seeds.drop("df")), "word").filter("p >= qi")
+    begins = posted.groupBy("quote", "doc", "sure", (F.col("p") - F.col("qi")).alias("start")).agg(F.count("*").alias("votes"))
+    return begins.filter("votes >= sure").select("quote", "doc", "start")
+
+
 def _window(held: Column) -> Column:
     """struct(similarity, nth, start, n): of the windows that begin at column starts in the words of a text the one most like column key."""
 
