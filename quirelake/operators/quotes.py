@@ -76,8 +76,8 @@ def contained(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     held = docs.select("doc", F.explode(every).alias("run")).join(_few(own.select("run").distinct()), "run")
     held = staged(held, "held")
     seed = own.join(held.groupBy("run").agg(F.count("*").alias("n")), "run", "left").groupBy("quote").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
-    met = held.join(seed, "run").select("quote", "doc").join(q, "quote")
-    both = met.join(docs.select("doc", "text"), "doc")
+    met = held.join(seed, "run").select("quote", "doc")
+    both = docs.select("doc", "text").join(_few(met), "doc").join(q, "quote")  # texts stay in their tasks where few documents are met
     place_of = let(found_in_order(match_key(F.col("text")), F.col("parts")), lambda f: F.when(f.isNotNull(), place(F.col("text"), f["start"], f["end"])))
     return both.select("quote", "doc", F.explode(F.array_compact(F.array(place_of))).alias("p")).select("quote", "doc", "p.start", "p.end")
 
