@@ -472,12 +472,12 @@ def _log(c: Column) -> Column:
 
 
 def rank_within(passages: DataFrame, query: str, n: int = 5) -> DataFrame:
-    """passages(doc, id, text): the n best of every document by BM25, with statistics of that document alone."""
+    """passages(doc, id, text): the n best of every document by BM25, with statistics of that document alone. A document without a word has none."""
     terms = [t for t, _ in words_of(passages.sparkSession, query)]
     own = passages.select("doc", "id", tokens(F.col("text")).alias("t")).select("doc", "id", F.size("t").alias("length"), *[(F.size("t") - F.size(F.array_remove("t", w))).alias(f"f{k}") for k, w in enumerate(terms)])
     stats = own.groupBy("doc").agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     stats = stats.select("doc", "avgdl", *[_log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)).alias(f"idf{k}") for k in range(len(terms))])
-    score = sum((F.col(f"idf{k}") * F.col(f"f{k}") * (K1 + 1) / (F.col(f"f{k}") + K1 * (1 - B + B * F.col("length") / F.col("avgdl"))) for k in range(len(terms))), F.lit(0.0))
+    score = sum((F.col(f"idf{k}") * F.col(f"f{k}") * (K1 + 1) / (F.col(f"f{k}") + K1 * (1 - B + B * F.col("length") / F.nullif("avgdl", F.lit(0.0)))) for k in range(len(terms))), F.lit(0.0))
     scored = own.join(stats, "doc").select("doc", "id", score.alias("score")).filter("score > 0")
     w = Window.partitionBy("doc").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

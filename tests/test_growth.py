@@ -14,6 +14,7 @@ from quirelake.operators.asof import last_before
 from quirelake.operators.components import components
 from quirelake.plans import items as plans_items
 from quirelake.plans import library, listing, scholarly
+from quirelake.plans import retrieval as plans_retrieval
 
 
 def plan(df):
@@ -110,3 +111,13 @@ def test_scores_are_held_for_some_queries_at_a_time():
     whole = retrieval._best(cosines(rows, queries), ids, asked, 3, 6).to_pydict()
     assert peak < rows.shape[0] * queries.shape[0] * 8 / 2
     assert [x for b in got for x in b["query"]] == whole["query"] and [x for b in got for x in b["id"]] == whole["id"]
+
+
+def test_documents_without_words_and_long_numbers(spark, tmp_path):
+    """Neither stops the ranking of passages: a document without a word has none, and a line of many numbers is a heading."""
+    texts = [(1, "! ? ."), (2, "a"), (3, "1" + ".1" * 20_000 + " Birds\n" + "the heron " * 200), (4, "the heron")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans_retrieval.passages_in_document(spark, str(tmp_path)).collect()
+    assert {r["doc"] for r in got} == {3, 4} and all(r["score"] > 0 for r in got)
+    assert max(r["section"] or "" for r in got if r["doc"] == 3) == ("1" + ".1" * 50)[:100]
