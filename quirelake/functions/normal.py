@@ -75,10 +75,10 @@ def composed(c: Column, keep: str = "") -> Column:
     #: Latin-1 letters are passed over at once, up to one that a mark follows; no other alternative begins with them.
     piece = rf"(?s)[\x{{0}}-\x{{FF}}]+(?!{joins})|{syllable}|.{joins}+|{odd}|(?:(?!.{joins}|{odd}|{syllable}).)+"
 
-    def join(first: Column, mark: Column) -> Column:
+    def join(first: Column, mark: Column, table: dict[str, tuple[str, str]] = pairs) -> Column:
         """The composed form, or null."""
         out = F.lit(None).cast("string")
-        for m, (before, made) in sorted(pairs.items(), reverse=True):  # the last one is asked first: marks of Latin letters
+        for m, (before, made) in sorted(table.items(), reverse=True):  # the last one is asked first: marks of Latin letters
             out = F.when(mark == m, F.when((first != "") & (F.instr(F.lit(before), first) > 0), F.translate(first, before, made))).otherwise(out)
         return out
 
@@ -114,10 +114,24 @@ def composed(c: Column, keep: str = "") -> Column:
         code = lv + F.when((tail != "") & takes, F.ascii(tail) - 0x11A7).otherwise(0)
         return F.concat(F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"), F.when(takes, F.lit("")).otherwise(tail))
 
-    plain = F.translate(c, "".join(single), "".join(single.values()))
-    pieces = F.regexp_extract_all(plain, F.lit(piece), F.lit(0))
-    slow = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(rf"^(?:{syllable})$"), hangul(x)).when(x.rlike(r"^[A-Za-z][\x{300}-\x{343}\x{345}-\x{36F}]$"), F.coalesce(join(F.left(x, F.lit(1)), F.right(x, F.lit(1))), x)).when(x.rlike(rf"(?s)^(?:.{joins}+|{odd})$"), compose(x)).otherwise(x)), "")
-    return F.when(plain.rlike(rf"{joins}|{odd}|[ᅡ-ᅵᆨ-ᇂ]"), slow).otherwise(plain)
+    #: One mark alone behind a letter of ASCII is told apart by the end of a part; others have no form with such a letter.
+    mark = r"\x{300}-\x{343}\x{345}-\x{36F}"
+    parts = rf"(?s)[^{mark}]++[{mark}](?!{joins})|[^{mark}]++|[{mark}]+"
+    latin = {m: tuple("".join(x for b, x in zip(before, kind, strict=True) if b.isascii()) for kind in (before, made)) for m, (before, made) in pairs.items() if 0x300 <= ord(m) < 0x370}
+    latin = {m: own for m, own in latin.items() if own[0]}
+
+    def quick(x: Column) -> Column:
+        ends = F.transform(F.regexp_extract_all(x, F.lit(parts), F.lit(0)), lambda y: F.struct(y.alias("part"), F.substring(y, -2, 1).alias("first"), F.substring(y, -1, 1).alias("mark")))
+        return F.array_join(F.transform(ends, lambda y: F.coalesce(F.concat(F.substr(y["part"], F.lit(1), F.length(y["part"]) - 2), join(y["first"], y["mark"], latin)), y["part"])), "")
+
+    def slow(x: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(piece), F.lit(0)), lambda x: F.when(x.rlike(rf"^(?:{syllable})$"), hangul(x)).when(x.rlike(f"^[A-Za-z][{mark}]$"), x).when(x.rlike(rf"(?s)^(?:.{joins}+|{odd})$"), compose(x)).otherwise(x)), "")
+
+    #: What composition changes, by one class; what lies below the first mark is told apart by one test.
+    left = rf"[[\x{{300}}-\x{{10FFFF}}]&&[\p{{M}}{second}{''.join(several)}ᅡ-ᅵᆨ-ᇂ]]"
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    plain = once(c, lambda x: F.when(x.rlike(among("".join(single))), F.translate(x, "".join(single), "".join(single.values()))).otherwise(x))
+    return once(plain, lambda x: F.when(x.rlike(left), once(quick(x), lambda y: F.when(y.rlike(left), slow(y)).otherwise(y))).otherwise(x))
 
 
 def _numbered(a: Column, m: Column) -> Column:

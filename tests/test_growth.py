@@ -1,11 +1,13 @@
 """Steps whose cost has to follow the input: what they give is held against plain versions, and what they shuffle against their plans."""
 
 import tracemalloc
+import unicodedata
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from quirelake.functions import normal
 from quirelake.functions import text as tx
 from quirelake.functions.vectors import cosines
 from quirelake.operators import components as shared
@@ -121,3 +123,12 @@ def test_documents_without_words_and_long_numbers(spark, tmp_path):
     got = plans_retrieval.passages_in_document(spark, str(tmp_path)).collect()
     assert {r["doc"] for r in got} == {3, 4} and all(r["score"] > 0 for r in got)
     assert max(r["section"] or "" for r in got if r["doc"] == 3) == ("1" + ".1" * 50)[:100]
+
+
+def test_lone_marks_are_joined_and_texts_taken_apart_once(spark, sf_dir):
+    bases, marks = "aEnzQ é1ß", ["", "́", "̈", "̧", "̈́", "̣́", "̣́", "̸", "ְ"]
+    texts = [f"{a}{m}{b}{n}" for a in bases for m in marks for b in ("", "o", "中") for n in marks] + ["́", "́a", "café näıve Zürich 中"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r["c"] == unicodedata.normalize("NFC", r["t"]) for r in df.select("t", normal.composed(F.col("t")).alias("c")).collect())
+    own = plans_retrieval.term_df_decomposed(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert own.count("regexp_extract_all(text#") == 1  # what the terms are read from is a column made before
