@@ -171,3 +171,18 @@ def test_link_counts_are_those_of_the_matches(spark):
     want = dedupe.matches(c, e).groupBy("candidate", "tier").agg(F.count("*").alias("links"), F.count("caveat").alias("caveats"))
     got = dedupe.link_counts(c, e).select(want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_class_links_give_every_match(spark):
+    """The matches between classes, with their members put in, are those of matches(), and links counts them."""
+    r = random.Random(11)
+    schema = "key int, itemType string, title string, title_key string, doi string, isbns array<string>, year string, surnames array<string>"
+    pick = lambda: (r.choice(["book", "bookSection"]), "t", r.choice(["on", "on the rivers of", None]), r.choice([None, None, "a", "b"]), r.choice([[], [], ["1"], ["2", "1"]]), r.choice([None, "1999", "2000", "2002"]), r.choice([[], ["lee"], ["ng", "lee"]]))
+    rows = spark.createDataFrame([(k, *pick()) for k in range(120)] + [(900, "book", "t", "alone", "z", [], None, [])], schema)
+    facts = ["itemType", "title_key", "doi", "isbns", "year", "surnames"]
+    own, found = dedupe.classes(rows, facts), dedupe.class_links(rows, facts)
+    both = found.join(own.select("class_id", "candidate"), "class_id").join(own.select(F.col("class_id").alias("key"), F.col("candidate").alias("other")), "key").filter("candidate <> other")
+    want = dedupe.matches(rows, rows)
+    got = both.select("candidate", F.col("other").alias("key"), "tier", "value", "caveat")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert both.groupBy("candidate", "key").agg(F.count("*").alias("n"), F.max("links").alias("links")).filter("n <> links").isEmpty()
